@@ -13,21 +13,24 @@ from palaver.functions.binding import bind
 PADDING = "<>"  # fixed value: stands for the token before the first and after the last
 
 
-def ngrams(channel: Column, tokens: Column, n: int) -> Column:
-    """``channel_tok_tok…`` for each distinct n-gram, padded by ``n - 1`` on both sides."""
-    head = F.concat(channel, F.lit("_"))
-    if n == 1:
-        return F.transform(F.array_distinct(tokens), lambda t: F.concat(head, t))
+def ngrams(head: Column, tokens: Column, n: int) -> Column:
+    """``head_tok_tok…`` for each distinct n-gram, padded by ``n - 1`` on both sides."""
     pad = F.array(*[F.lit(PADDING)] * (n - 1))
 
-    def windows(padded: Column) -> Column:
-        def gram(i: Column) -> Column:
-            rest = [x for k in range(1, n) for x in (F.lit("_"), F.get(padded, i + k))]
-            return F.concat(head, F.get(padded, i), *rest)
+    def singles(start: Column) -> Column:
+        return F.transform(F.array_distinct(tokens), lambda t: F.concat(start, t))
 
-        return F.transform(F.sequence(F.lit(0), F.size(padded) - n), gram)
+    def windows(start: Column) -> Column:
+        def grams(padded: Column) -> Column:
+            def gram(i: Column) -> Column:
+                rest = [x for k in range(1, n) for x in (F.lit("_"), F.get(padded, i + k))]
+                return F.concat(start, F.get(padded, i), *rest)
 
-    return F.array_distinct(bind(F.concat(pad, tokens, pad), windows))
+            return F.transform(F.sequence(F.lit(0), F.size(padded) - n), gram)
+
+        return F.array_distinct(bind(F.concat(pad, tokens, pad), grams))
+
+    return bind(F.concat(head, F.lit("_")), singles if n == 1 else windows)
 
 
 @dataclass(frozen=True)
@@ -44,10 +47,12 @@ class Pattern:
         return re.compile(self.regex).groups
 
 
-def pattern_presence(channel: Column, text: Column, patterns: list[Pattern]) -> Column:
+def pattern_presence(
+    channel: Column, text: Column, patterns: list[Pattern], prefix: str = ""
+) -> Column:
     """``name_channel`` for each binary pattern found anywhere in the text."""
     hits = [
-        F.when(text.rlike(p.regex), F.concat_ws("_", F.lit(p.name), channel))
+        F.when(text.rlike(p.regex), F.concat(F.lit(f"{prefix}{p.name}_"), channel))
         for p in patterns
         if p.binary
     ]
@@ -56,28 +61,28 @@ def pattern_presence(channel: Column, text: Column, patterns: list[Pattern]) ->
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
-def pattern_matches(channel: Column, text: Column, patterns: list[Pattern]) -> Column:
+def pattern_matches(
+    channel: Column, text: Column, patterns: list[Pattern], prefix: str = ""
+) -> Column:
     """``name_channel_group…``, once per distinct match of each expanded pattern."""
-    found = [_expanded(channel, text, p) for p in patterns if p.expand]
+    found = [_expanded(channel, text, p, prefix) for p in patterns if p.expand]
     if not found:
         return F.array().cast("array<string>")
     return F.array_distinct(F.concat(*found))
 
 
-def _expanded(channel: Column, text: Column, pattern: Pattern) -> Column:
-    head = F.concat_ws("_", F.lit(pattern.name), channel)
+def _expanded(channel: Column, text: Column, pattern: Pattern, prefix: str) -> Column:
+    head = F.concat(F.lit(f"{prefix}{pattern.name}_"), channel)
+    none = F.array().cast("array<string>")
     if pattern.groups == 0:
-        return F.when(text.rlike(pattern.regex), F.array(head)).otherwise(
-            F.array().cast("array<string>")
-        )
-    per_group = [
-        F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(g))
-        for g in range(1, pattern.groups + 1)
+        return F.when(text.rlike(pattern.regex), F.array(head)).otherwise(none)
+    names = [f"g{g}" for g in range(1, pattern.groups + 1)]
+    groups = [
+        F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(g)).alias(name)
+        for g, name in enumerate(names, 1)
     ]
-    named = [g.alias(f"g{i}") for i, g in enumerate(per_group)]
     return F.transform(
-        F.arrays_zip(*named),
-        lambda m: F.concat_ws("_", head, *[m[f"g{i}"] for i in range(len(per_group))]),
+        F.arrays_zip(*groups), lambda m: F.concat_ws("_", head, *[m[name] for name in names])
     )
 
 

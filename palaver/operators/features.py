@@ -33,8 +33,9 @@ class RowExtractor(Protocol):
     """Features as an expression over one channel: an array of ``wrap(feature, value)``.
 
     ``fields`` names what it reads of a channel besides ``channel`` and ``text``: ``tokens``
-    and/or ``calm`` (tokens of the de-shouted text). The caller's ``wrap`` makes the element
-    it needs, so no intermediate struct is built per feature. With ``binary`` all values are 1.
+    and/or ``calm`` (tokens of the de-shouted text). Feature names begin with ``prefix``, and
+    the caller's ``wrap`` makes the element it needs, so that each feature's string is put
+    together once and no struct is built on the way. With ``binary`` all values are 1.
     """
 
     binary: bool
@@ -43,7 +44,7 @@ class RowExtractor(Protocol):
 
     def name(self) -> str: ...
 
-    def in_row(self, channel: Column, wrap: Wrap) -> Column: ...
+    def in_row(self, channel: Column, prefix: str, wrap: Wrap) -> Column: ...
 
 
 @runtime_checkable
@@ -73,8 +74,9 @@ class NgramExtractor:
     def name(self) -> str:
         return f"ngram{self.n}" + ("_calm" if self.source == "calm" else "")
 
-    def in_row(self, channel: Column, wrap: Wrap) -> Column:
-        return present(ngrams(channel["channel"], channel[self.source], self.n), wrap)
+    def in_row(self, channel: Column, prefix: str, wrap: Wrap) -> Column:
+        head = F.concat(F.lit(prefix), channel["channel"])
+        return present(ngrams(head, channel[self.source], self.n), wrap)
 
 
 class PatternExtractor:
@@ -87,11 +89,11 @@ class PatternExtractor:
     def name(self) -> str:
         return "pattern"
 
-    def in_row(self, channel: Column, wrap: Wrap) -> Column:
+    def in_row(self, channel: Column, prefix: str, wrap: Wrap) -> Column:
         where, text = channel["channel"], channel["text"]
         found = F.concat(
-            pattern_presence(where, text, self.patterns),
-            pattern_matches(where, text, self.patterns),
+            pattern_presence(where, text, self.patterns, prefix),
+            pattern_matches(where, text, self.patterns, prefix),
         )
         return present(F.array_distinct(found), wrap)
 
@@ -192,8 +194,8 @@ def _split(extractors: list) -> tuple[list, list]:
     return rows, [x for x in extractors if not isinstance(x, RowExtractor)]
 
 
-def _in_row(extractor: RowExtractor, wrap: Wrap) -> Column:
-    return F.flatten(F.transform(CHANNELS, lambda c: extractor.in_row(c, wrap)))
+def _in_row(extractor: RowExtractor, prefix: str, wrap: Wrap) -> Column:
+    return F.flatten(F.transform(CHANNELS, lambda c: extractor.in_row(c, prefix, wrap)))
 
 
 def _named(fset: str) -> Wrap:
@@ -211,7 +213,7 @@ def feature_table(
                              spaced_comment)
     parts = []
     if in_row:
-        named = [_in_row(x, _named(x.name())) for x in in_row]
+        named = [_in_row(x, "", _named(x.name())) for x in in_row]
         parts.append(prepared.select(key, F.inline(F.concat(*named))))
     for x in joined:
         found = x.features(_channel_rows(prepared, key), key)
@@ -261,35 +263,36 @@ def add_vectors(
     """``entries`` with ``vector``: one value per bucket, in no order. Keys are unique."""
     in_row, joined = _split(extractors)
 
-    def bucket_of(fset: str, feature: Column) -> Column:
-        return bucket(F.concat(F.lit(fset + "_"), feature), bits, method)
+    def only_bucket(key: Column, _: Column) -> Column:
+        return bucket(key, bits, method)
 
-    def plain(fset: str) -> Wrap:
-        return lambda f, _: bucket_of(fset, f)
-
-    def pair(fset: str) -> Wrap:
-        return lambda f, v: F.struct(
-            bucket_of(fset, f).alias("idx"), v.cast("double").alias("value")
+    def bucket_and_value(key: Column, value: Column) -> Column:
+        return F.struct(
+            bucket(key, bits, method).alias("idx"), value.cast("double").alias("value")
         )
 
     out = entries
     hit_columns = []
     if joined:
         # One shuffle of the text; hits are grouped and joined in this partitioning. Absent
-        # keys are dropped on both sides alike so that both read the same exchange.
-        out = out.where(F.col(key).isNotNull()).repartition(key)
+        # keys are dropped on both sides alike so that both read the same exchange. The number
+        # is fixed as the work is in the texts' features, far larger than the bytes by which
+        # AQE would merge partitions.
+        parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.where(F.col(key).isNotNull()).repartition(parts, key)
         texts = out.select(key, "added", "removed", "comment")
         for i, x in enumerate(joined):
             rows = _channel_rows(with_channels(texts, [x], spaced_comment), key)
             found = x.features(rows, key)
-            item = pair(x.name())(F.col("feature"), F.col("value"))
+            name = F.concat(F.lit(x.name() + "_"), F.col("feature"))
+            item = bucket_and_value(name, F.col("value"))
             hits = found.groupBy(key).agg(F.collect_list(item).alias(f"_hits{i}"))
             out = out.join(hits, key, "left")
             hit_columns.append(f"_hits{i}")
 
     out = with_channels(out, in_row, spaced_comment)
-    buckets = [_in_row(x, plain(x.name())) for x in in_row if x.binary]
-    values = [_in_row(x, pair(x.name())).cast(VALUED) for x in in_row if not x.binary]
+    buckets = [_in_row(x, x.name() + "_", only_bucket) for x in in_row if x.binary]
+    values = [_in_row(x, x.name() + "_", bucket_and_value).cast(VALUED) for x in in_row if not x.binary]
     values += [F.coalesce(F.col(c).cast(VALUED), F.array().cast(VALUED)) for c in hit_columns]
     vector = one_per_bucket(
         F.concat(*buckets) if buckets else F.array().cast("array<int>"),

@@ -48,9 +48,17 @@ def outer_join(
 
 
 def name_parties(
-    log: DataFrame, users: DataFrame, sender: str, receiver: str, user_id: str, user_name: str
+    log: DataFrame, users: DataFrame, sender: str, receiver: str, user_id: str, user_name: str,
+    few_log_rows: bool = False,
 ) -> DataFrame:
-    """Sender and receiver names from one user table."""
+    """Sender and receiver names from one user table.
+
+    ``few_log_rows``: the caller has limited the log, so the ids in it may go to all scan tasks
+    of the user table and drop other users there.
+    """
+    if few_log_rows:
+        ids = log.select(F.col(sender).alias(user_id)).union(log.select(receiver)).distinct()
+        users = users.join(F.broadcast(ids), user_id, "left_semi")
     s = users.select(F.col(user_id).alias("_sid"), F.col(user_name).alias("sender_name"))
     r = users.select(F.col(user_id).alias("_rid"), F.col(user_name).alias("receiver_name"))
     return (

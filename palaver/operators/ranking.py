@@ -9,11 +9,37 @@ from pyspark.sql.window import Window
 from palaver.session import materialize
 
 
+# Above this many rows a top-n may pull most of every part into the one task that merges them.
+MERGEABLE = 100_000
+
+
 def newest(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
-    """The ``n`` latest rows; ``key`` settles equal times."""
+    """The ``n`` latest rows; ``key`` settles equal times.
+
+    For a large ``n`` counts per hour, then per second of one hour, show a time after which
+    there are at least ``n`` rows but not many more; only those are sorted.
+    """
+    if n > MERGEABLE:
+        since = _reached(df, ts, "hour", n)
+        if since is not None:
+            hour, later = since
+            inside = df.where(F.date_trunc("hour", ts) == F.lit(hour))
+            second = _reached(inside, ts, "second", n - later)
+            df = df.where(F.col(ts) >= F.lit(second[0]).cast(df.schema[ts].dataType))
     return df.orderBy(F.desc(ts), key).limit(n)
 
 
+def _reached(df: DataFrame, ts: str, unit: str, n: int):
+    """The latest ``unit`` from which on there are ``n`` rows, and the rows after it."""
+    counts = df.groupBy(F.date_trunc(unit, ts).alias("at")).count().where("at is not null")
+    later = 0
+    for r in sorted(counts.collect(), key=lambda r: r["at"], reverse=True):
+        if later + r["count"] >= n:
+            return r["at"], later
+        later += r["count"]
+    return None
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key; cut to ``k`` before the shuffle already."""
     seat = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palaver.functions.text import compose_message, contributions_link, revision_link, user_link
 from palaver.functions.keys import format_wikidate
@@ -13,6 +14,7 @@ from palaver.operators.joins import name_parties
 from palaver.operators.ranking import label_lists, newest, uncertain
 from palaver.operators.resolve import resolve
 from palaver.operators.scoring import score_linear
+from palaver.session import written
 
 
 def recent_interactions(
@@ -23,10 +25,18 @@ def recent_interactions(
 
     ``log``: ``(id, ts, sender_id, receiver_id, subject, message)``; ``users``: ``(user_id,
     user_name)``; ``revisions``: ``(actor, ts, rev_id)``.
+
+    The log is read once: its newest rows, in as many parts as their texts are worth, are
+    written out and all later steps start from them.
     """
+    cores = log.sparkSession.sparkContext.defaultParallelism
     recent = newest(time_range(log, "ts", start, end), "ts", "id", limit)
-    known = recent.where(F.col("sender_id") != 0)
-    named = name_parties(known, users, "sender_id", "receiver_id", "user_id", "user_name")
+    known = written(
+        recent.where(F.col("sender_id") != 0).repartition(max(1, min(cores, limit // 16)))
+    )
+    named = name_parties(
+        known, users, "sender_id", "receiver_id", "user_id", "user_name", few_log_rows=True
+    )
     found = resolve(named, revisions, "sender_id", "ts", window, few_log_rows=True)
     return found.select(
         "id", "rev_id", "sender_id", "sender_name", "receiver_id", "receiver_name", "ts",
@@ -55,7 +65,8 @@ def report(
     scores = score_linear(
         add_vectors(texts, extractors, "id", bits), weights, labels, "id", bits=bits
     ).select("id", *[F.round(f"p_{lab}", 6).alias(f"p_{lab}") for lab in labels])
-    scored = others.drop("body").join(scores, "id")
+    # Read by each label's list and by the uncertain rows.
+    scored = written(others.drop("body").join(scores, "id"))
 
     listed = label_lists(scored, labels, threshold, "id", few_rows=True)
     loose = uncertain(scored, labels, threshold).select(
@@ -64,8 +75,6 @@ def report(
         F.lit(None).cast("double").alias("score"),
         F.lit(None).cast("double").alias("margin"),
     )
-    from pyspark.sql.window import Window
-
     loose = loose.withColumn(
         "rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("ts"), "id"))
     )

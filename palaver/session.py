@@ -54,3 +54,13 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Unlike after a checkpoint Spark then knows its size and may choose joins by it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
