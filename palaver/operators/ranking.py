@@ -60,9 +60,8 @@ def rank_within(
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     if few_rows:
-        return df.withColumn(
-            "rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        )
+        seat = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return df.withColumn("rank", seat.cast("bigint"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(
         df.repartitionByRange(parts, *groups, *order).withColumn(

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palaver.functions.text import compose_message, contributions_link, revision_link, user_link
 from palaver.functions.keys import format_wikidate
 from palaver.operators.features import add_vectors
 from palaver.operators.filters import not_self, time_range
 from palaver.operators.joins import name_parties
-from palaver.operators.ranking import label_lists, newest, uncertain
+from palaver.operators.ranking import label_lists, newest, rank_within, uncertain
 from palaver.operators.resolve import resolve
 from palaver.operators.scoring import score_linear
 from palaver.session import written
@@ -69,15 +68,13 @@ def report(
     scored = written(others.drop("body").join(scores, "id"))
 
     listed = label_lists(scored, labels, threshold, "id", few_rows=True)
-    loose = uncertain(scored, labels, threshold).select(
+    rest = uncertain(scored, labels, threshold).select(
         "*",
         F.lit("uncertain").alias("label"),
         F.lit(None).cast("double").alias("score"),
         F.lit(None).cast("double").alias("margin"),
     )
-    loose = loose.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("ts"), "id"))
-    )
+    loose = rank_within(rest, ["label"], [F.desc("ts"), "id"], few_rows=True)
     return listed.unionByName(loose).select(
         "label", "rank", "id", "rev_id", "sender_name", "receiver_name", "ts", "message",
         *[f"p_{lab}" for lab in labels],
