@@ -16,31 +16,29 @@ from palaver.operators.scoring import score_linear
 from palaver.session import written
 
 
-def recent_interactions(
-    log: DataFrame, users: DataFrame, revisions: DataFrame, start, end,
-    limit: int = 100, window: int = 10,
-) -> DataFrame:
-    """The newest interactions of a period with both names, revision and message.
-
-    ``log``: ``(id, ts, sender_id, receiver_id, subject, message)``; ``users``: ``(user_id,
-    user_name)``; ``revisions``: ``(actor, ts, rev_id)``.
+def newest_interactions(log: DataFrame, start, end, limit: int) -> DataFrame:
+    """The newest interactions of a period between two registered actors.
 
-    The log is read once: its newest rows, in as many parts as their texts are worth, are
-    written out and all later steps start from them.
+    The log is read once: these rows, in as many parts as their texts are worth, are written
+    out and all later steps start from them.
     """
     cores = log.sparkSession.sparkContext.defaultParallelism
     recent = newest(time_range(log, "ts", start, end), "ts", "id", limit)
-    known = written(
-        recent.where(F.col("sender_id") != 0).repartition(max(1, min(cores, limit // 16)))
-    )
+    known = not_self(recent.where(F.col("sender_id") != 0), "sender_id", "receiver_id")
+    return written(known.repartition(max(1, min(cores, limit // 16))))
+
+
+def identified(
+    recent: DataFrame, users: DataFrame, revisions: DataFrame, window: int
+) -> DataFrame:
+    """Few log rows with both names, the revision and the composed message."""
     named = name_parties(
-        known, users, "sender_id", "receiver_id", "user_id", "user_name", few_log_rows=True
+        recent, users, "sender_id", "receiver_id", "user_id", "user_name", few_log_rows=True
     )
     found = resolve(named, revisions, "sender_id", "ts", window, few_log_rows=True)
     return found.select(
         "id", "rev_id", "sender_id", "sender_name", "receiver_id", "receiver_name", "ts",
         compose_message(F.col("subject"), F.col("message")).alias("message"),
-        F.col("message").alias("body"),
     )
 
 
@@ -51,21 +49,24 @@ def report(
 ) -> DataFrame:
     """Ranked rows per label bucket, and the uncertain ones newest first.
 
-    The log is cut to ``limit`` rows at the start, so all that follows is small, whatever the
-    size of the log; only the revision scan is not.
+    ``log``: ``(id, ts, sender_id, receiver_id, subject, message)``; ``users``: ``(user_id,
+    user_name)``; ``revisions``: ``(actor, ts, rev_id)``. The log is cut to ``limit`` rows at
+    the start, so all that follows is small, whatever the size of the log; only the scans of
+    users and revisions are not, and they keep what these rows can need.
     """
     labels = sorted(labels)
-    recent = recent_interactions(log, users, revisions, start, end, limit, window)
-    others = not_self(recent, "sender_id", "receiver_id")
-    none = F.array().cast("array<string>")
-    texts = others.select(
-        "id", F.array("body").alias("added"), none.alias("removed"), F.lit("").alias("comment")
+    recent = newest_interactions(log, start, end, limit)
+    texts = recent.select(
+        "id",
+        F.array("message").alias("added"),
+        F.array().cast("array<string>").alias("removed"),
+        F.lit("").alias("comment"),
     )
     scores = score_linear(
         add_vectors(texts, extractors, "id", bits), weights, labels, "id", bits=bits
     ).select("id", *[F.round(f"p_{lab}", 6).alias(f"p_{lab}") for lab in labels])
     # Read by each label's list and by the uncertain rows.
-    scored = written(others.drop("body").join(scores, "id"))
+    scored = written(identified(recent, users, revisions, window).join(scores, "id"))
 
     listed = label_lists(scored, labels, threshold, "id", few_rows=True)
     rest = uncertain(scored, labels, threshold).select(

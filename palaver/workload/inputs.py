@@ -108,6 +108,8 @@ scores AS (SELECT word, avg(pos - neg) AS score FROM senses GROUP BY word)"""
 WORDS = [("the", 0.25), ("worthless", -0.75), ("und", 0.5), ("la", -0.25), ("of", 0.0625),
          ("sich", -0.5), ("thanks", 0.875), ("et", 0.375)]
 
+WORD_VALUES = ", ".join(f"('{w}', CAST({s} AS DOUBLE))" for w, s in WORDS)
+
 PATTERNS = [
     Pattern("number", "[0-9]+"),
     Pattern("capital", "[A-Z][a-z]+ed", binary=True, expand=False),
@@ -117,7 +119,9 @@ PATTERNS = [
 
 
 def extractors(spark: SparkSession) -> list:
-    return default_extractors(spark.createDataFrame(WORDS, "word string, score double"), PATTERNS)
+    return default_extractors(
+        spark.sql(f"SELECT * FROM VALUES {WORD_VALUES} AS words(word, score)"), PATTERNS
+    )
 
 
 def _pattern_sql() -> str:
@@ -151,9 +155,7 @@ SELECT DISTINCT id, 'lexicon' AS fset, channel || '_' || word AS feature, score
 WHERE abs(score) > {threshold}"""
 
 
-WORDS_SQL = "words(word, score) AS (VALUES " + ", ".join(
-    f"('{w}', {s}::DOUBLE)" for w, s in WORDS
-) + ")"
+WORDS_SQL = f"words(word, score) AS (VALUES {WORD_VALUES})"
 
 FEATURES_SQL = f"""{CHANNELS_SQL}, {calm_sql("ch", "chc")}, {WORDS_SQL},
 feats AS ({lexicon_feature_sql("chc", "words", 0.2)}

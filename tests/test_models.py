@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palaver.operators.scoring import (
     long_scores, prediction_rows, predictions_by_id, score_linear,
 )
-from palaver.operators.training import ml_vector, train_models
+from palaver.operators.training import ml_rows, train_models
 from palaver.plans.evaluate import cross_validate, training_fit
 
 BITS = 4
@@ -28,9 +28,8 @@ def vectors(spark):
 
 
 def test_scores_equal_the_models_own_probabilities(spark, vectors):
-    data = vectors.where("labels is not null").select(
-        "id", "vector", ml_vector(F.col("vector"), BITS).alias("x"),
-        F.col("labels")["good"].cast("double").alias("y"))
+    data = ml_rows(vectors.where("labels is not null"), BITS, ["id", "vector", "labels"])
+    data = data.withColumn("y", F.col("labels")["good"].cast("double"))
     model = LogisticRegression(featuresCol="x", labelCol="y", fitIntercept=False).fit(data)
     own = {r["id"]: r["probability"][1] for r in model.transform(data).collect()}
     weights = spark.createDataFrame(
