@@ -34,9 +34,13 @@ def coded_entries(
 
 
 def with_revisions(entries: DataFrame, responses: DataFrame, xml: str = "xml") -> DataFrame:
-    """Entries filled from the revisions that are ready; pending ones stay empty."""
+    """Entries filled from the revisions that are ready; pending ones stay empty.
+
+    A revision may have been fetched twice; the partitioning that finds this out is the one the
+    join needs.
+    """
     ready, _ = split_pending(revision_rows(responses, xml))
-    return attach_revisions(entries, ready)
+    return attach_revisions(entries, ready.dropDuplicates(["rev_id"]))
 
 
 def store(stored: DataFrame, entries: DataFrame) -> DataFrame:

@@ -15,9 +15,14 @@ RESPONSE = (
 )
 
 
-def revision_rows(responses: DataFrame, column: str = "xml") -> DataFrame:
-    """One row per ``rev`` with its page's title; ``pending`` when its diff is not cached."""
-    parsed = F.from_xml(F.col(column), RESPONSE)
+def revision_rows(
+    responses: DataFrame, column: str = "xml", mode: str = "FAILFAST"
+) -> DataFrame:
+    """One row per ``rev`` with its page's title; ``pending`` when its diff is not cached.
+
+    A malformed response stops the job unless ``mode`` is ``PERMISSIVE``, which drops it.
+    """
+    parsed = F.from_xml(F.col(column), RESPONSE, {"mode": mode})
     pages = responses.select(F.explode(parsed["query"]["pages"]["page"]).alias("page"))
     revs = pages.select(
         F.col("page._title").alias("title"), F.explode("page.revisions.rev").alias("rev")

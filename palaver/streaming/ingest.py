@@ -22,8 +22,9 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         ready, pending = split_pending(revision_rows(batch, column))
+        ready = ready.dropDuplicates(["rev_id"])
         wanted = entries.join(
-            ready.select("rev_id").distinct(),
+            ready.select("rev_id"),
             F.col("entry.id.rev_id") == F.col("rev_id"),
             "left_semi",
         )

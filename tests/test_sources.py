@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators.entries import attach_revisions, shape_entries
@@ -83,6 +84,8 @@ def coded(spark):
 def test_revisions_fill_entries_and_pending_ones_wait(spark):
     xml = spark.createDataFrame([response("T", (1, ADDED), (2, None)), response("S", (3, ""))],
                                 "xml string")
+    twice = with_revisions(coded(spark), xml.union(xml))
+    assert twice.count() == 3
     assert {r["rev_id"]: r["pending"] for r in revisions.revision_rows(xml).collect()} == {
         1: False, 2: True, 3: False}
     found = {r["entry"]["id"]["rev_id"]: r for r in with_revisions(coded(spark), xml).collect()}
@@ -93,6 +96,13 @@ def test_revisions_fill_entries_and_pending_ones_wait(spark):
     assert found[3]["labels"] is None
 
 
+def test_a_malformed_response_is_not_lost_silently(spark):
+    bad = spark.createDataFrame([("<api><query>",)], "xml string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        revisions.revision_rows(bad).collect()
+    assert revisions.revision_rows(bad, mode="PERMISSIVE").collect() == []
+
+
 def test_stored_entries_are_skipped_or_replaced(spark):
     fresh = coded(spark)
     stored = fresh.where("rev_id < 3").drop("rev_id")
