@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,6 +51,18 @@ def whole_seconds(ts: Column) -> Column:
     )
 
 
+def seconds(ts: Column, zoned: bool) -> Column:
+    """Seconds that grow with ``ts``, for timestamps with (``zoned``) and without a zone."""
+    return F.unix_seconds(ts) if zoned else whole_seconds(ts)
+
+
+def at_second(second: int, zoned: bool) -> Column:
+    """The timestamp at which ``seconds`` is ``second``, as a literal scans can filter by."""
+    if zoned:
+        return F.timestamp_seconds(F.lit(second))
+    return F.lit(str(datetime(1970, 1, 1) + timedelta(seconds=second))).cast("timestamp_ntz")
+
+
 def label_bool(cell: Column) -> Column:
     """``'1'``/``'0'`` as a boolean, any other cell as not coded (NULL)."""
     return F.when(cell.isin("0", "1"), cell == "1")

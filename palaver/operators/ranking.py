@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
+from palaver.functions.keys import at_second, seconds
 from palaver.session import materialize
 
 
@@ -20,24 +22,26 @@ def newest(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
     there are at least ``n`` rows but not many more; only those are sorted.
     """
     if n > MERGEABLE:
-        since = _reached(df, ts, "hour", n)
-        if since is not None:
-            hour, later = since
-            inside = df.where(F.date_trunc("hour", ts) == F.lit(hour))
-            second = _reached(inside, ts, "second", n - later)
-            df = df.where(F.col(ts) >= F.lit(second[0]).cast(df.schema[ts].dataType))
+        zoned = isinstance(df.schema[ts].dataType, TimestampType)
+        clock = seconds(F.col(ts), zoned)
+        hour = F.floor(clock / 3600)
+        last, later = _reached(df, hour, n)
+        if last is not None:
+            since, _ = _reached(df.where(hour == last), clock, n - later)
+            df = df.where(F.col(ts) >= at_second(since, zoned))
     return df.orderBy(F.desc(ts), key).limit(n)
 
 
-def _reached(df: DataFrame, ts: str, unit: str, n: int):
-    """The latest ``unit`` from which on there are ``n`` rows, and the rows after it."""
-    counts = df.groupBy(F.date_trunc(unit, ts).alias("at")).count().where("at is not null")
+def _reached(df: DataFrame, unit: Column, n: int) -> tuple[int | None, int]:
+    """The latest ``unit`` from which on there are ``n`` rows, and the number of rows after it;
+    None if there are fewer."""
+    counts = df.groupBy(unit.alias("at")).count().where("at is not null").collect()
     later = 0
-    for r in sorted(counts.collect(), key=lambda r: r["at"], reverse=True):
+    for r in sorted(counts, key=lambda r: r["at"], reverse=True):
         if later + r["count"] >= n:
             return r["at"], later
         later += r["count"]
-    return None
+    return None, later
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -15,11 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
-from palaver.functions.keys import shift_seconds, whole_seconds
-
-
-def _seconds(ts: Column, zoned: bool) -> Column:
-    return F.unix_seconds(ts) if zoned else whole_seconds(ts)
+from palaver.functions.keys import seconds, shift_seconds
 
 
 def candidate_facts(
@@ -37,12 +33,12 @@ def candidate_facts(
     zoned = isinstance(revisions.schema["ts"].dataType, TimestampType)
 
     def chunk(ts: Column) -> Column:
-        return F.floor(_seconds(ts, zoned) / width)
+        return F.floor(seconds(ts, zoned) / width)
 
     instants = revisions.groupBy("actor", "ts").agg(
         F.count("*").alias("n"), F.min("rev_id").alias("rev_id")
     )
-    into_chunk = F.pmod(_seconds(F.col("ts"), zoned), F.lit(width))
+    into_chunk = F.pmod(seconds(F.col("ts"), zoned), F.lit(width))
     own = chunk(F.col("ts"))
     placed = instants.select(
         "actor",

@@ -14,7 +14,10 @@ def read_delimited(
     schema: str | None = None,
     multiline: bool = True,
 ) -> DataFrame:
-    """All cells as text; empty cells are NULL. Give ``schema`` to name the columns.
+    """All cells as text; empty cells are NULL, blank lines are skipped.
+
+    Give ``schema`` to name the columns; without it the first line says how many there are, so
+    a table whose rows may be longer than that needs one.
 
     Several paths are read as one table and each file's header is dropped. ``multiline`` lets
     a quoted cell hold line breaks, which makes each file one task: write large tables as

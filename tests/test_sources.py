@@ -19,6 +19,29 @@ def test_delimited_cells_survive(spark, tmp_path):
     assert back.select(delimited.nth(back, 2)).columns == ["text"]
 
 
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\r"])
+def test_line_ends_blank_lines_and_several_files(spark, tmp_path, line_end):
+    for name, rows in (("a", ["id,t", "1,x", "", '2,"y z"']), ("b", ["id,t", "3,", "4"])):
+        (tmp_path / f"{name}.csv").write_bytes(line_end.join(rows + [""]).encode())
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    found = delimited.read_delimited(spark, paths, header=True)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("1", "x"), ("2", "y z"), ("3", None), ("4", None)]
+
+
+def test_a_written_registry_is_read_by_label(spark, tmp_path):
+    weights = spark.createDataFrame(
+        [("a", {"cv": "1"}, 3, 0.5), ("b", {"cv": "2"}, 4, 1.5)],
+        "label string, tags map<string,string>, idx int, weight double",
+    ).withColumn("trained_at", F.lit("2011-01-01").cast("timestamp"))
+    registry.write_registry(weights, str(tmp_path / "r"))
+    back = registry.read_registry(spark, str(tmp_path / "r")).where("label = 'b'")
+    assert [(r["idx"], r["weight"]) for r in registry.load_models(back, {"cv": 2}).collect()] == [
+        (4, 1.5)]
+    assert "label" in back._jdf.queryExecution().executedPlan().toString().split(
+        "PartitionFilters")[1]
+
+
 def test_upsert_takes_the_last_of_each_key(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k int, v string, n int")

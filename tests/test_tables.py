@@ -135,10 +135,10 @@ def test_one_label_is_ranked_by_score(spark):
     assert [r["id"] for r in found.orderBy("rank").collect()] == [2, 1]
 
 
-def test_newest_by_counts_equals_a_sort(spark, monkeypatch):
-    rnd = random.Random(2)
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_newest_by_counts_equals_a_sort(spark, monkeypatch, kind):
     rows = spark.range(3000).withColumn(
-        "ts", F.expr("timestamp_ntz'2011-01-01 00:00:00' + make_interval(0,0,0,0,0,0,"
+        "ts", F.expr(f"{kind}'2011-01-01 00:00:00' + make_interval(0,0,0,0,0,0,"
                      "pmod(hash(id), 40000) / 2)"))
     plain = [r["id"] for r in ranking.newest(rows, "ts", "id", 700).collect()]
     monkeypatch.setattr(ranking, "MERGEABLE", 10)
