@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palaver.llm import mixing, packing, pii, quality, simhash_dedup
+from palaver.llm import fingerprints, mixing, packing, pii, quality, simhash_dedup
 from palaver.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "fingerprint", "component_id", "kept")
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_prints(table(spark, sf_dir, "documents"))
+
+
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
