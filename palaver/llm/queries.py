@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palaver.llm import embedding_dedup, fingerprints, mixing, packing, pii, quality, simhash_dedup
+from palaver.llm import (
+    embedding_dedup,
+    fingerprints,
+    language_model,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality,
+    simhash_dedup,
+    url_lists,
+)
 from palaver.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +42,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "fingerprint", "component_id", "kept")
 
 
+@query("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_model")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op4_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_prints(table(spark, sf_dir, "documents"))
@@ -40,6 +62,75 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def list_entries(captures: DataFrame) -> DataFrame:
+    """Dated entries for one in five of the patterns that the captures ask for, made from its hash."""
+    found = captures.select(F.explode(url_lists.patterns(F.col("url"))).alias("pattern")).distinct()
+    found = found.withColumn("k", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int"))
+    found = found.where("k % 5 = 0").withColumn("list", F.element_at(F.array(*map(F.lit, LISTS)), F.col("k") % 3 + 1))
+    dated = [("add", "k % 200", "true"), ("remove", "k % 200 + 30 + k % 60", "k % 2 = 0"), ("add", "k % 200 + 150", "k % 4 = 0")]
+    parts = [
+        found.where(where).select(
+            "list",
+            "pattern",
+            F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval({day})").alias("dated"),
+            F.lit(action).alias("action"),
+        )
+        for action, day, where in dated
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+LISTS = ("adult", "malware", "spam")
+
+URL_SQL = r"""
+with captures as (
+  select page_id, url,
+    timestamp '2024-01-01 00:00:00' + to_minutes((page_id * 7919) % 525600) as fetched_at,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') as segments
+  from pages),
+asked as (
+  select page_id, url, fetched_at, unnest(
+    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+      lambda i: array_to_string(string_split(host, '.')[i:], '.')) ||
+    list_transform(range(1, least(len(segments), 2) + 1),
+      lambda i: host || '/' || array_to_string(segments[1:i], '/'))) as pattern
+  from captures where host <> ''),
+keyed as (
+  select pattern, ('0x' || substr(md5(pattern), 1, 4))::int as k from (select distinct pattern from asked)),
+chosen as (
+  select pattern, k, case k % 3 when 0 then 'adult' when 1 then 'malware' else 'spam' end as list
+  from keyed where k % 5 = 0),
+entries as (
+  select list, pattern, timestamp '2024-01-01 00:00:00' + to_days(k % 200) as dated, 'add' as action from chosen
+  union all
+  select list, pattern, timestamp '2024-01-01 00:00:00' + to_days(k % 200 + 30 + k % 60), 'remove' from chosen where k % 2 = 0
+  union all
+  select list, pattern, timestamp '2024-01-01 00:00:00' + to_days(k % 200 + 150), 'add' from chosen where k % 4 = 0),
+intervals as (
+  select list, pattern, dated as since, until from (
+    select *, lead(dated) over (partition by list, pattern order by dated, action) as until from entries)
+  where action = 'add' and (until is null or until > dated)),
+met as (
+  select a.page_id, a.url, a.fetched_at, i.list
+  from (select distinct * from asked) a join intervals i
+    on a.pattern = i.pattern and a.fetched_at >= i.since and (i.until is null or a.fetched_at < i.until))
+select c.page_id, c.url, c.fetched_at, coalesce(m.n, 0) as n_active, coalesce(m.lists, '') as lists,
+  coalesce(m.n, 0) > 0 as blocked
+from captures c left join (
+  select page_id, url, fetched_at, count(*) as n, string_agg(distinct list, ',' order by list) as lists
+  from met group by all) m
+on c.page_id is not distinct from m.page_id and c.url = m.url and c.fetched_at = m.fetched_at
+"""
+
+
+@query("op6_url_lists", URL_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast((page_id * 7919) % 525600 as int))")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    return url_lists.evaluate(captures, list_entries(captures))
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
