@@ -30,6 +30,8 @@ SCHEDULES = (
 )
 #: Documents that share all leading bits, about.
 BUCKET_ROWS = 2048
+#: Bits of the hash that orders a source's documents; any SQL engine can compute it.
+ORDER_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,12 +94,13 @@ def mix(
     bits = max(2, min(40, math.ceil(math.log2(max(1, sizes.count()) / BUCKET_ROWS))))
 
     def placed(rows: DataFrame) -> DataFrame:
-        order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+        key = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))
+        order = F.conv(F.substring(F.md5(key), 1, ORDER_BITS // 4), 16, 10).cast("long")
         rows = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         return (
             rows.withColumn("__order", order)
-            .withColumn("__bucket", F.shiftrightunsigned("__order", 64 - bits))
-            .withColumn("__top", F.shiftrightunsigned("__order", 64 - bits // 2))
+            .withColumn("__bucket", F.shiftright("__order", ORDER_BITS - bits))
+            .withColumn("__top", F.shiftright("__order", ORDER_BITS - bits // 2))
         )
 
     def running(*keys: str) -> Window:

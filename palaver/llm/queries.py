@@ -136,10 +136,50 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_mixing")
+MIX_SQL = r"""
+with sizes as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5(concat_ws(':', '5', doc_id::varchar)), 1, 15))::bigint as hashed
+  from documents),
+sources as (
+  select source, sum(size)::bigint as words,
+    row_number() over (order by source is null, encode(source)) - 1 as sid
+  from sizes group by source),
+weighed as (
+  select *, case sid % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, 3 * words as most
+  from sources),
+levels as (
+  select *, (sum(words) over () - coalesce(sum(most) over (order by most / weight, sid rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by most / weight, sid rows between current row and unbounded following) as level
+  from weighed),
+targets as (
+  select source, sid, words, least(most::double, weight * max(level) over ()) as target from levels),
+placed as (
+  select s.doc_id, s.size, t.sid, t.words, t.target,
+    coalesce(sum(size) over (partition by t.sid order by hashed, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+    case when t.words > 0 then floor(t.target / t.words)::bigint else 0 end as passes
+  from sizes s join targets t on s.source is not distinct from t.source),
+taken as (
+  select *, case when size > 0 then passes * size +
+    greatest(0, least(round(target - passes * words)::bigint - start, size)) else 0 end as taken
+  from placed),
+asked as (
+  select *, start / target as share from taken)
+select doc_id, size::bigint as size, words as source_size, round(target, 6) as target, taken::bigint as taken,
+  round(case when taken = 0 then null
+    when sid % 3 = 0 then 2 * share / (sqrt(2.25 - 2 * share) + 1.5)
+    when sid % 3 = 1 then share
+    when share * 0.875 < 0.25 then share * 0.875 / 0.5
+    else 0.5 + 2 * (share * 0.875 - 0.25) / (sqrt(0.25 + 6 * (share * 0.875 - 0.25)) + 0.5) end, 6) as position
+from asked
+"""
+
+
+@query("op8_mixing", MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+    rounded = [F.round(c, 6).alias(c) for c in ("target", "position")]
+    return plan.select("doc_id", "size", "source_size", rounded[0], "taken", rounded[1])
 
 
 @query("op9_embedding_dedup")
