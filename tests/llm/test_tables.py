@@ -66,7 +66,7 @@ def test_mix_takes_what_targets_ask(documents):
     places = [r.position for r in found if r.position is not None]
     assert places == sorted(places)
     again = mixing.mixing_plan(documents(rows[::-1])).collect()
-    assert Counter(again) == Counter(found)
+    assert sorted(map(str, again)) == sorted(map(str, found))
 
 
 def test_mixed_documents_are_cut_to_what_is_taken(documents, edge, nothing):
