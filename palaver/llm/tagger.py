@@ -231,7 +231,7 @@ def labelled_windows(count: int, rng: np.random.Generator) -> tuple[np.ndarray,
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 11, windows: int = 1536, batch: int = 64, rounds: int = 6, rate: float = 0.02) -> Tagger:
+def trained(seed: int = 11, windows: int = 2048, batch: int = 64, rounds: int = 7, rate: float = 0.02) -> Tagger:
     """A tagger fitted by Adam on ``windows`` labelled windows made from ``seed``; always the same.
 
     The number of windows bounds the training, whatever the size of the table it is used on.
