@@ -27,13 +27,15 @@ def shape_entries(
 ) -> DataFrame:
     """Rows of a coded table to ``(entry, labels)``.
 
-    ``ids`` and ``labels`` map the name in the document to the column in the table. ``rev_id``
-    becomes a number, other ids keep their text form.
+    ``ids`` and ``labels`` map the name in the document to the column in the table. Ids keep their
+    text form; ``rev_id`` becomes a number, with its text beside it as ``rev_text``, for an id that
+    merely begins with digits is no number and must not be lost.
     """
-    id_fields = [
-        (F.col(c).try_cast("bigint") if name == "rev_id" else int_if(F.col(c))).alias(name)
-        for name, c in ids.items()
-    ]
+    id_fields = []
+    for name, c in ids.items():
+        if name == "rev_id":
+            id_fields.append(F.col(c).try_cast("bigint").alias(name))
+        id_fields.append(int_if(F.col(c)).alias("rev_text" if name == "rev_id" else name))
     empty = F.array().cast("array<string>")
     added = F.array(F.col(text)) if text else empty
     entry = F.struct(
@@ -53,6 +55,17 @@ def shape_entries(
     return rows.select(entry.alias("entry"), coded.alias("labels"))
 
 
+def entry_key() -> Column:
+    """All id fields of an entry as one text."""
+    return F.to_json("entry.id")
+
+
+def filled() -> Column:
+    """Whether an entry has its revision or its text; others were stored while that was pending."""
+    content = F.coalesce(F.size("entry.content.added") + F.size("entry.content.removed"), F.lit(0))
+    return F.col("entry.timestamp").isNotNull() | (content > 0)
+
+
 def attach_revisions(entries: DataFrame, revisions: DataFrame) -> DataFrame:
     """Fill entries from revision rows of the same ``rev_id``.
 

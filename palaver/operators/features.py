@@ -24,6 +24,7 @@ from palaver.functions.features import (
 from palaver.functions.text import deshout, lexicon_tokens, text_channels, tokenize
 
 CHANNELS = "_channels"
+KNOWN = "_known"
 
 Wrap = Callable[[Column, Column], Column]
 
@@ -102,9 +103,8 @@ class LexiconExtractor:
     """Polarity of the lexicon words in the text, if above ``threshold`` in size.
 
     ``scores`` is ``(word, score)`` with unique words. ``lemmas`` is ``(form, lemma)`` with
-    unique forms and replaces a token before it is looked up. The lexicon is broadcast only if
-    it is counted and found small; otherwise Spark picks the join, and what it may shuffle is
-    one row per entry, channel and word.
+    unique forms and replaces a token before it is looked up. Spark picks the join; what it may
+    shuffle is one row per entry, channel and word.
     """
 
     fields = ("calm",)
@@ -114,10 +114,8 @@ class LexiconExtractor:
         scores: DataFrame,
         threshold: float = 0.1,
         lemmas: DataFrame | None = None,
-        check_size: bool = True,
     ):
-        strong = scores.where(F.abs("score") > threshold).select("word", "score")
-        self.scores = broadcast_if_small(strong) if check_size else strong
+        self.scores = scores.where(F.abs("score") > threshold).select("word", "score")
         self.lemmas = lemmas
 
     def name(self) -> str:
@@ -136,11 +134,6 @@ class LexiconExtractor:
         )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A broadcast hint for a table that has been counted to be small enough."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def substitute_lemmas(words: DataFrame, lemmas: DataFrame, column: str) -> DataFrame:
     """Replace a word by its lemma where the table has one."""
     pairs = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma"))
@@ -260,7 +253,10 @@ def add_vectors(
     method: str = "md5",
     spaced_comment: bool = False,
 ) -> DataFrame:
-    """``entries`` with ``vector``: one value per bucket, in no order. Keys are unique."""
+    """``entries`` with ``vector``: one value per bucket, in no order. Keys are unique, or absent.
+
+    Entries without a key are known by their text when features have to be joined.
+    """
     in_row, joined = _split(extractors)
 
     def only_bucket(key: Column, _: Column) -> Column:
@@ -274,20 +270,21 @@ def add_vectors(
     out = entries
     hit_columns = []
     if joined:
-        # One shuffle of the text; hits are grouped and joined in this partitioning. Absent
-        # keys are dropped on both sides alike so that both read the same exchange. The number
+        # One shuffle of the text; hits are grouped and joined in this partitioning. The number
         # is fixed as the work is in the texts' features, far larger than the bytes by which
         # AQE would merge partitions.
         parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.where(F.col(key).isNotNull()).repartition(parts, key)
-        texts = out.select(key, "added", "removed", "comment")
+        by_text = F.md5(F.to_json(F.struct("added", "removed", "comment")))
+        known = F.concat(F.lit("key "), F.col(key).cast("string"))
+        out = out.withColumn(KNOWN, F.coalesce(known, by_text)).repartition(parts, KNOWN)
+        texts = out.select(KNOWN, "added", "removed", "comment")
         for i, x in enumerate(joined):
-            rows = _channel_rows(with_channels(texts, [x], spaced_comment), key)
-            found = x.features(rows, key)
+            rows = _channel_rows(with_channels(texts, [x], spaced_comment), KNOWN)
+            found = x.features(rows, KNOWN)
             name = F.concat(F.lit(x.name() + "_"), F.col("feature"))
             item = bucket_and_value(name, F.col("value"))
-            hits = found.groupBy(key).agg(F.collect_list(item).alias(f"_hits{i}"))
-            out = out.join(hits, key, "left")
+            hits = found.groupBy(KNOWN).agg(F.collect_list(item).alias(f"_hits{i}"))
+            out = out.join(hits, KNOWN, "left")
             hit_columns.append(f"_hits{i}")
 
     out = with_channels(out, in_row, spaced_comment)
@@ -298,7 +295,7 @@ def add_vectors(
         F.concat(*buckets) if buckets else F.array().cast("array<int>"),
         F.concat(*values) if values else None,
     )
-    return out.withColumn("vector", vector).drop(CHANNELS, *hit_columns)
+    return out.withColumn("vector", vector).drop(CHANNELS, KNOWN, *hit_columns)
 
 
 def vector_rows(vectors: DataFrame, key: str = "id") -> DataFrame:

@@ -42,7 +42,8 @@ def not_self(df: DataFrame, sender: str, receiver: str) -> DataFrame:
 
 
 def registered(df: DataFrame, actor: str) -> DataFrame:
-    return df.where(F.col(actor) != 0)
+    """All but anonymous actors; an unknown one counts as registered, it just finds no partner."""
+    return df.where(F.coalesce(F.col(actor) != 0, F.lit(True)))
 
 
 def anonymous(df: DataFrame, actor: str) -> DataFrame:

@@ -11,25 +11,26 @@ from palaver.functions.keys import at_second, seconds
 from palaver.session import materialize
 
 
-# Above this many rows a top-n may pull most of every part into the one task that merges them.
-MERGEABLE = 100_000
+def newest(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
+    """The ``n`` latest rows; ``key`` settles equal times. One task merges what the parts offer, up
+    to ``n`` rows of each: for an ``n`` of a report, not of an extract (``newest_counted``)."""
+    return df.orderBy(F.desc(ts), key).limit(n)
 
 
-def newest(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
-    """The ``n`` latest rows; ``key`` settles equal times.
+def newest_counted(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
+    """As ``newest`` for a large ``n``, after two jobs that count.
 
-    For a large ``n`` counts per hour, then per second of one hour, show a time after which
-    there are at least ``n`` rows but not many more; only those are sorted.
+    Counts per hour, then per second of one hour, show a time after which there are at least ``n``
+    rows but not many more; only those are sorted.
     """
-    if n > MERGEABLE:
-        zoned = isinstance(df.schema[ts].dataType, TimestampType)
-        clock = seconds(F.col(ts), zoned)
-        hour = F.floor(clock / 3600)
-        last, later = _reached(df, hour, n)
-        if last is not None:
-            since, _ = _reached(df.where(hour == last), clock, n - later)
-            df = df.where(F.col(ts) >= at_second(since, zoned))
-    return df.orderBy(F.desc(ts), key).limit(n)
+    zoned = isinstance(df.schema[ts].dataType, TimestampType)
+    clock = seconds(F.col(ts), zoned)
+    hour = F.floor(clock / 3600)
+    last, later = _reached(df, hour, n)
+    if last is not None:
+        since, _ = _reached(df.where(hour == last), clock, n - later)
+        df = df.where(F.col(ts) >= at_second(since, zoned))
+    return newest(df, ts, key, n)
 
 
 def _reached(df: DataFrame, unit: Column, n: int) -> tuple[int | None, int]:
@@ -50,22 +51,15 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return df.withColumn("rank", seat).where(F.col("rank") <= k)
 
 
-def rank_within(
-    df: DataFrame, groups: list[str], order: list[Column | str], few_rows: bool = False
-) -> DataFrame:
+def rank_within(df: DataFrame, groups: list[str], order: list[Column | str]) -> DataFrame:
     """``df`` with ``rank``, the row's 1-based position in its group by ``order`` (unique).
 
     Groups may be few and huge, so none is given to one task: rows are range-partitioned by
     group and order, numbered inside each partition, and moved up by the rows their group has
     in earlier partitions. The placement is written out first, for it rests on a sample and
     must not differ between counting and numbering.
-
-    ``few_rows``: the caller has limited ``df``; a plain window does.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if few_rows:
-        seat = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        return df.withColumn("rank", seat.cast("bigint"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(
         df.repartitionByRange(parts, *groups, *order).withColumn(
@@ -104,13 +98,16 @@ def margin(score: Column, scores: Column) -> Column:
     return F.when(F.size(scores) < 2, -score).otherwise(key)
 
 
-def label_lists(
-    scored: DataFrame, labels: list[str], threshold: float, key: str, few_rows: bool = False
-) -> DataFrame:
-    """Per label the rows scoring at least ``threshold``, ranked by margin.
+def label_lists(scored: DataFrame, labels: list[str], threshold: float, key: str) -> DataFrame:
+    """``label_items`` ranked by margin within each label, as ``rank``."""
+    return rank_within(label_items(scored, labels, threshold), ["label"], ["margin", key])
+
+
+def label_items(scored: DataFrame, labels: list[str], threshold: float) -> DataFrame:
+    """Per label the rows scoring at least ``threshold``.
 
-    ``scored`` has a column ``p_<label>`` per label; the result adds ``label``, ``score``,
-    ``margin`` and ``rank``.
+    ``scored`` has a column ``p_<label>`` per label; the result adds ``label``, ``score`` and
+    ``margin``.
     """
     items = F.array(
         *[
@@ -123,8 +120,7 @@ def label_lists(
             for lab in labels
         ]
     )
-    listed = scored.select("*", F.inline(F.filter(items, lambda x: x["score"] >= threshold)))
-    return rank_within(listed, ["label"], ["margin", key], few_rows)
+    return scored.select("*", F.inline(F.filter(items, lambda x: x["score"] >= threshold)))
 
 
 def uncertain(scored: DataFrame, labels: list[str], threshold: float) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
 from palaver.functions.keys import seconds, shift_seconds
+from palaver.operators.filters import time_range
 
 
 def candidate_facts(
@@ -93,22 +94,22 @@ def resolve(
     ts: str,
     window: int = 10,
     unique: bool = True,
-    few_log_rows: bool = False,
     chunk_seconds: int | None = None,
+    period: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """``log`` with ``rev_id``: the revision by the same actor within ``window`` seconds.
 
     ``unique`` leaves NULL where several qualify; otherwise the first one is taken. Rows
-    without a candidate are kept. ``revisions`` has ``(actor, ts, rev_id)``.
+    without a candidate, or without an actor, are kept. ``revisions`` has ``(actor, ts, rev_id)``.
 
-    ``few_log_rows`` says the caller has limited the log (a newest-N report): its actors are
-    then few enough to be sent to all scan tasks and drop other revisions there.
+    ``period`` is the closed range in which all log times lie, if it is known: candidates are no
+    further from it than the window, and the scan of the revisions is filtered so.
     """
     probes = log.select(F.col(actor).alias("actor"), F.col(ts).alias("ts"))
-    if few_log_rows:
-        revisions = revisions.join(
-            F.broadcast(probes.select("actor").distinct()), "actor", "left_semi"
-        )
+    if period is not None:
+        first, last = shift_seconds(period[0], -window), shift_seconds(period[1], window)
+        revisions = time_range(revisions, "ts", first, last)
+    revisions = revisions.join(probes.select("actor").distinct(), "actor", "left_semi")
     facts = candidate_facts(probes, revisions, window, chunk_seconds)
     chosen = F.when(F.col("n") == 1, F.col("rev_id")) if unique else F.col("rev_id")
     answers = facts.select(
@@ -128,15 +129,21 @@ def resolve_registered_and_anonymous(
 ) -> DataFrame:
     """Registered actors (id ≠ 0) by id, anonymous ones by text; first candidate each.
 
-    ``revisions``: ``(user_id, user_text, ts, rev_id)``.
+    ``revisions``: ``(user_id, user_text, ts, rev_id)``. They are read once and take part under
+    their user's id, unless that is 0, and under the text. A log row without an actor is kept.
     """
-    by_id = revisions.select(F.col("user_id").alias("actor"), "ts", "rev_id")
-    by_text = revisions.select(F.col("user_text").alias("actor"), "ts", "rev_id")
-    known = resolve(log.where(F.col(actor_id) != 0), by_id, actor_id, ts, window, unique=False)
-    unknown = resolve(
-        log.where(F.col(actor_id) == 0), by_text, actor_text, ts, window, unique=False
-    )
-    return known.unionByName(unknown)
+
+    def by_id(column: str) -> Column:
+        return F.when(F.col(column) != 0, F.concat(F.lit("id "), F.col(column).cast("string")))
+
+    def by_text(column: str) -> Column:
+        return F.concat(F.lit("text "), F.col(column))
+
+    names = F.array_compact(F.array(by_id("user_id"), by_text("user_text")))
+    named = revisions.select(F.explode(names).alias("actor"), "ts", "rev_id")
+    own = F.when(F.col(actor_id) == 0, by_text(actor_text)).otherwise(by_id(actor_id))
+    found = resolve(log.withColumn("_who", own), named, "_who", ts, window, unique=False)
+    return found.drop("_who")
 
 
 def flatten_log(resolved: DataFrame, log_columns: list[str]) -> DataFrame:

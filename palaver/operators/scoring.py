@@ -1,4 +1,4 @@
-"""Linear scores as a join of vectors with model weights, and prediction rows."""
+"""Linear scores of vectors by model weights, and prediction rows."""
 
 from __future__ import annotations
 
@@ -8,22 +8,36 @@ from pyspark.sql import functions as F
 from palaver.functions.text import short_revision_link
 from palaver.schemas import PREDICTION_COLUMNS
 
-BROADCAST_BYTES = 256 << 20
-
 
 def wide_weights(weights: DataFrame, labels: list[str], within: str | None = None) -> DataFrame:
-    """One row per bucket (and ``within`` value) with a weight column per label."""
-    keys = ["idx"] if within is None else [within, "idx"]
-    return (
-        weights.where(F.col("label").isin(labels))
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.sum(F.when(F.col("label") == lab, F.col("weight"))).alias(f"w{i}")
-                for i, lab in enumerate(labels)
-            ]
-        )
-    )
+    """One row per bucket (and ``_group``, the value of ``within``) with a weight column per label.
+
+    A second weight of a label for one bucket means that two models were given and stops the job.
+    """
+    of = weights.where(F.col("label").isin(labels))
+    of = of.select(F.col(within).alias("_group") if within else F.lit(0).alias("_group"), "label", "idx", "weight")
+
+    def single(label: str) -> Column:
+        own = F.when(F.col("label") == label, F.col("weight"))
+        wrong = F.raise_error(F.lit(f"two models for label {label}")).cast("double")
+        return F.when(F.count(own) > 1, wrong).otherwise(F.max(own))
+
+    return of.groupBy("_group", "idx").agg(*[single(lab).alias(f"w{i}") for i, lab in enumerate(labels)])
+
+
+def weight_arrays(
+    weights: DataFrame, labels: list[str], bits: int = 15, within: str | None = None
+) -> DataFrame:
+    """One row (per ``within`` value, as ``_group``) with ``_models``: an array of weights for each
+    label, bucket by bucket from 0 to ``2 ** bits``, which bounds its size."""
+    names = [f"w{i}" for i in range(len(labels))]
+    wide = wide_weights(weights, labels, within)
+    groups = wide.select("_group").distinct() if within else weights.sparkSession.range(1).select(F.lit(0).alias("_group"))
+    every = groups.select("_group", F.explode(F.sequence(F.lit(0), F.lit(1 << bits))).alias("idx"))
+    dense = every.join(wide, ["_group", "idx"], "left").na.fill(0.0, names)
+    cells = dense.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("idx", *names))).alias("cells"))
+    arrays = [F.col("cells")[n].alias(n) for n in names]
+    return cells.select("_group", F.struct(*arrays).alias("_models"))
 
 
 def score_linear(
@@ -34,35 +48,52 @@ def score_linear(
     carry: list[str] | None = None,
     bits: int = 15,
     within: str | None = None,
-    groups: int = 1,
 ) -> DataFrame:
     """``key``, carried columns, and per label ``p_<label>``, the probability of true.
 
-    ``vectors`` has ``vector``; ``weights`` is ``(label, idx, weight)``. With ``within`` each
-    row meets only the weights that share its value there (cross-validation: its slice), of
-    which there are ``groups`` values. An entry none of whose buckets has a weight gets 0.5.
+    ``vectors`` has ``vector``; ``weights`` is ``(label, idx, weight)`` with one model per label.
+    With ``within`` each row meets only the weights that share its value there (cross-validation:
+    its slice). An entry none of whose buckets has a weight gets 0.5.
 
-    Weights have at most ``groups * 2 ** bits`` rows, so whether they may be broadcast is
-    known beforehand; if not, the join shuffles by bucket and AQE splits the buckets that
-    nearly every entry has. Products are added up per entry before its rows are shuffled.
+    Products are added up inside the row: the weights come along as arrays, whose size ``bits``
+    bounds, and nothing is shuffled.
     """
     keys = [key, *([within] if within else []), *(carry or [])]
-    wide = wide_weights(weights, labels, within)
-    if groups * (1 << bits) * (16 + 8 * len(labels)) <= BROADCAST_BYTES:
-        wide = F.broadcast(wide)
-    cells = vectors.select(*keys, F.inline_outer("vector"))
-    on = ["idx"] if within is None else [within, "idx"]
-    sums = (
-        cells.join(wide, on, "left")
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.coalesce(F.sum(F.col("value") * F.col(f"w{i}")), F.lit(0.0)).alias(f"s{i}")
-                for i in range(len(labels))
-            ]
+    arrays = weight_arrays(weights, labels, bits, within)
+    if within is None:
+        rows = vectors.select(*keys, "vector", arrays.select("_models").scalar().alias("_models"))
+    else:  # one row of arrays per value
+        rows = vectors.select(*keys, "vector").join(F.broadcast(arrays), F.col(within) == F.col("_group"), "left")
+
+    def total(i: int) -> Column:
+        weight = F.col("_models")[f"w{i}"]
+        summed = F.aggregate(
+            "vector", F.lit(0.0), lambda s, x: s + x["value"] * F.get(weight, x["idx"])
         )
-    )
-    return sums.select(
+        return F.coalesce(summed, F.lit(0.0))
+
+    return rows.select(*keys, *[logistic(total(i)).alias(f"p_{lab}") for i, lab in enumerate(labels)])
+
+
+def score_linear_joined(
+    vectors: DataFrame,
+    weights: DataFrame,
+    labels: list[str],
+    key: str = "id",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """As ``score_linear``, for more buckets than an array should hold: cells are joined by bucket.
+
+    Products are added up per entry before its cells are shuffled; keys are unique.
+    """
+    keys = [key, *(carry or [])]
+    wide = wide_weights(weights, labels).drop("_group")
+    cells = vectors.select(*keys, F.inline_outer("vector")).join(wide, "idx", "left")
+    sums = [
+        F.coalesce(F.sum(F.col("value") * F.col(f"w{i}")), F.lit(0.0)).alias(f"s{i}")
+        for i in range(len(labels))
+    ]
+    return cells.groupBy(*keys).agg(*sums).select(
         *keys, *[logistic(F.col(f"s{i}")).alias(f"p_{lab}") for i, lab in enumerate(labels)]
     )
 

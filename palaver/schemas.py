@@ -5,7 +5,7 @@ from __future__ import annotations
 CONTENT = "struct<added: array<string>, removed: array<string>>"
 
 ENTRY = (
-    "struct<id: struct<rev_id: bigint>, title: string, sender: string, receiver: string, "
+    "struct<id: struct<rev_id: bigint, rev_text: string>, title: string, sender: string, receiver: string, "
     f"comment: string, timestamp: timestamp, size: int, content: {CONTENT}>"
 )
 
@@ -13,7 +13,7 @@ VECTOR = "array<struct<idx: int, value: double>>"
 
 ENTRY_DOCUMENT = (
     f"entry {ENTRY}, labels map<string, boolean>, "
-    "features map<string, map<string, double>>, vector map<int, double>, "
+    f"features map<string, map<string, double>>, vector {VECTOR}, "
     "internal struct<slice: int>"
 )
 

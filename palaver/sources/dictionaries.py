@@ -17,11 +17,16 @@ def strip_comment(line: Column) -> Column:
 
 
 def pattern_dictionary(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``name⇥regex[⇥flags]`` lines to ``(name, regex, is_binary, is_expanded)``."""
+    """``name⇥regex[⇥flags]`` lines to ``(name, regex, is_binary, is_expanded)``.
+
+    A line of another number of fields stops the job.
+    """
     text = F.regexp_replace(strip_comment(F.col(column)), r"^\s+|\s+\z", "")
     parts = lines.select(F.split(text, "\t", -1).alias("p"), text.alias("t")).where("t <> ''")
     flags = F.when(F.size("p") == 3, F.col("p")[2]).otherwise(F.lit(""))
-    return parts.where(F.size("p").isin(2, 3)).select(
+    wrong = F.raise_error(F.concat(F.lit("no name, regex and flags: "), "t"))
+    whole = F.when(F.size("p").isin(2, 3), F.col("p")).otherwise(wrong.cast("array<string>"))
+    return parts.withColumn("p", whole).select(
         F.col("p")[0].alias("name"),
         F.col("p")[1].alias("regex"),
         (flags.contains("binary") | (flags == "")).alias("is_binary"),
@@ -46,12 +51,18 @@ def plan_patterns(dictionary: DataFrame, limit: int = 10_000) -> list[Pattern]:
 
 
 def lexicon_senses(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lexicon lines to one row per word sense with a score: ``(word, pos, neg)``."""
+    """Lexicon lines to one row per word sense with a score: ``(word, pos, neg)``.
+
+    Lines whose first field is not one character are none of the lexicon's; one of these with fewer
+    than five fields stops the job.
+    """
     cells = F.split(F.col(column), "\t", -1)
+    short = F.raise_error(F.concat(F.lit("fewer than five fields: "), F.array_join("c", "|")))
     return (
         lines.where(~F.col(column).startswith("#"))
         .select(cells.alias("c"))
-        .where((F.length(F.get("c", F.lit(0))) == 1) & (F.size("c") >= 5))
+        .where(F.length(F.get("c", F.lit(0))) == 1)
+        .select(F.when(F.size("c") >= 5, F.col("c")).otherwise(short.cast("array<string>")).alias("c"))
         .select(
             F.col("c")[2].cast("double").alias("pos"),
             F.col("c")[3].cast("double").alias("neg"),

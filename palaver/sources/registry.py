@@ -21,10 +21,15 @@ def has_tags(tags: dict[str, str]) -> Column:
     )
 
 
+def only_tags(tags: dict[str, str]) -> Column:
+    """The given tags and no others."""
+    return has_tags(tags) & (F.coalesce(F.size("tags"), F.lit(0)) == len(tags))
+
+
 def save_models(
     stored: DataFrame, trained: DataFrame, labels: list[str], tags: dict[str, str]
 ) -> DataFrame:
-    """Registry after replacing the models of ``labels`` under ``tags``.
+    """Registry after replacing the models of ``labels`` that have exactly ``tags``.
 
     ``trained`` has ``(label, idx, weight, trained_at)``.
     """
@@ -33,13 +38,23 @@ def save_models(
         if tags
         else F.create_map().cast("map<string, string>")
     )
-    kept = stored.where(~(F.col("label").isin(labels) & has_tags(tags)))
+    kept = stored.where(~(F.col("label").isin(labels) & only_tags(tags)))
     added = trained.withColumn("tags", tag_map).select(*COLUMNS)
     return kept.select(*COLUMNS).unionByName(added)
 
 
 def load_models(stored: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
-    return stored.where(has_tags(tags or {}))
+    """One model per label among those that have ``tags``: the one trained last.
+
+    Of models trained at one time the one whose tags come last as text is taken.
+    """
+    found = stored.where(has_tags(tags or {}))
+    named = F.array_join(
+        F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","
+    )
+    found = found.withColumn("_model", F.struct("trained_at", F.coalesce(named, F.lit("")).alias("tags")))
+    last = found.groupBy("label").agg(F.max("_model").alias("_model"))
+    return found.join(last, ["label", "_model"], "left_semi").select(*stored.columns)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -96,7 +96,7 @@ SELECT id, feature, round(value, 6) AS value
 FROM ({inp.lexicon_feature_sql("chc", "scores", 0.1)})""")
 def lexicon_features(spark, sf_dir):
     scores = lexicon_scores(lexicon_senses(inp.lexicon_lines(spark, sf_dir)))
-    extractor = fx.LexiconExtractor(scores, check_size=False)
+    extractor = fx.LexiconExtractor(scores)
     found = fx.feature_table(inp.entries(spark, sf_dir), [extractor])
     return found.select("id", "feature", F.round("value", 6).alias("value"))
 

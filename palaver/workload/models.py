@@ -12,8 +12,8 @@ from palaver.operators.folds import fold_split
 from palaver.operators.training import train_models
 from palaver.plans.evaluate import cross_validate, training_fit
 from palaver.plans.report import report
-from palaver.session import materialize
-from palaver.sources.registry import load_models, save_models
+from palaver.session import materialize, scratch_path
+from palaver.sources.registry import load_models, read_registry, save_models, write_registry
 from palaver.workload import inputs as inp
 from palaver.workload.registry import query
 
@@ -207,7 +207,11 @@ def model_registry(spark, sf_dir):
     )
     kept = save_models(kept, model(rows, "quality"), ["quality"], three)
     kept = save_models(kept, model(rows.where("lang = 'en'"), "quality", -1), ["quality"], four)
-    return load_models(kept, four).select("label", "idx", F.round("weight", 6).alias("weight"))
+    kept = save_models(kept, model(rows.where("lang = 'de'"), "toxic"), ["toxic"], {})
+    path = scratch_path(spark, "registry")
+    write_registry(kept, path)
+    found = load_models(read_registry(spark, path), four)
+    return found.select("label", "idx", F.round("weight", 6).alias("weight"))
 
 
 def _training_vectors(spark, sf_dir):
@@ -237,10 +241,10 @@ def cross_validation(spark, sf_dir):
     return cross_validate(_training_vectors(spark, sf_dir), CODES, bits=inp.BITS)
 
 
-# The report over the whole log period: each log row's message is the document numbered by
-# sender plus receiver.
+# The report over one day: each log row's message is the document numbered by sender plus
+# receiver.
 
-START, END = "2011-01-01 00:00:00", "3011-01-01 00:00:00"
+START, END = "2024-01-15 00:00:00", "2024-01-16 00:00:00"
 REPORT_LIMIT, REPORT_THRESHOLD = 300, 0.6
 
 
@@ -287,17 +291,15 @@ SELECT label, rank, t.id, CASE WHEN n = 1 THEN h.rev_id END AS rev_id,
 FROM every JOIN texted t USING (id) JOIN wide USING (id) JOIN hits h USING (id)
 LEFT JOIN users s ON s.user_id = sender_id LEFT JOIN users r ON r.user_id = receiver_id""")
 def live_report(spark, sf_dir):
-    docs = inp.table(spark, sf_dir, "documents").select("doc_id", "text")
-    log = (
-        inp.log(spark, sf_dir)
-        .join(docs, F.col("doc_id") == F.col("sender_id") + F.col("receiver_id"), "left")
-        .withColumn("message", F.coalesce("text", F.lit("")))
-        .drop("doc_id", "text")
+    docs = inp.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("message_id"), F.col("text").alias("message")
     )
+    log = inp.log(spark, sf_dir).withColumn("message_id", F.col("sender_id") + F.col("receiver_id"))
     labels = inp.LABELS
     found = report(
         log, inp.users(spark, sf_dir), inp.revisions(spark, sf_dir), inp.weights(spark), labels,
         inp.extractors(spark), F.lit(START).cast("timestamp_ntz"),
         F.lit(END).cast("timestamp_ntz"), REPORT_LIMIT, inp.WINDOW, REPORT_THRESHOLD, inp.BITS,
+        docs,
     )
     return found

@@ -27,13 +27,18 @@ def plan_of(df):
 def test_pattern_dictionary(spark):
     found = dic.pattern_dictionary(lines(
         spark, "# all comment", "a\tx+ # tail", "b\ty\\#z # kept\texpand", "", "  ",
-        "c\t(q)\texpand,binary", "d\tr\tbinary", "only"))
+        "c\t(q)\texpand,binary", "d\tr\tbinary"))
     assert {r["name"]: (r["regex"], r["is_binary"], r["is_expanded"]) for r in found.collect()} == {
         "a": ("x+", True, False), "b": ("y\\#z # kept", False, True),
         "c": ("(q)", True, True), "d": ("r", True, False)}
     assert len(dic.plan_patterns(found)) == 4
     with pytest.raises(ValueError):
         dic.plan_patterns(found, limit=3)
+    for wrong in ("only", "a\tb\tc\td"):
+        with pytest.raises(Exception, match="no name, regex"):
+            dic.pattern_dictionary(lines(spark, wrong)).collect()
+    with pytest.raises(Exception, match="fewer than five"):
+        dic.lexicon_senses(lines(spark, "a\t1\t0.5\t0")).collect()
 
 
 def test_lexicon(spark):
@@ -105,7 +110,8 @@ def test_row_extractors_shuffle_nothing(spark, entries):
 
 def test_a_lexicon_costs_one_partitioning_by_key(spark, entries):
     scores = spark.createDataFrame([("a", 0.9)], "word string, score double")
-    vectors = fx.add_vectors(entries, [fx.NgramExtractor(1), fx.LexiconExtractor(scores)])
+    small = fx.LexiconExtractor(F.broadcast(scores))
+    vectors = fx.add_vectors(entries, [fx.NgramExtractor(1), small])
     plan = plan_of(vectors)
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
 

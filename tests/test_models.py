@@ -5,6 +5,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from palaver.operators.scoring import (
+    score_linear_joined,
     long_scores, prediction_rows, predictions_by_id, score_linear,
 )
 from palaver.operators.training import ml_rows, train_models
@@ -35,9 +36,12 @@ def test_scores_equal_the_models_own_probabilities(spark, vectors):
     weights = spark.createDataFrame(
         [("good", i + 1, float(w)) for i, w in enumerate(model.coefficients.toArray())],
         "label string, idx int, weight double")
-    for bits in (BITS, 40):  # the second is too wide to be broadcast on trust
-        found = score_linear(data, weights, ["good"], bits=bits).collect()
-        assert {r["id"]: r["p_good"] for r in found} == pytest.approx(own)
+    for found in (score_linear(data, weights, ["good"], bits=BITS), score_linear_joined(data, weights, ["good"])):
+        assert {r["id"]: r["p_good"] for r in found.collect()} == pytest.approx(own)
+    with pytest.raises(Exception, match="two models"):
+        score_linear(data, weights.union(weights), ["good"], bits=BITS).collect()
+    with pytest.raises(Exception, match="two models"):
+        score_linear_joined(data, weights.union(weights), ["good"]).collect()
 
 
 def test_no_known_bucket_gives_one_half(spark):

@@ -45,8 +45,10 @@ def test_equals_brute_force_with_a_hot_actor(spark, kind, window, span):
     for unique in (True, False):
         found = resolve(left, right, "who", "ts", window, unique)
         assert {r["id"]: r["rev_id"] for r in found.collect()} == by_hand(log, revs, window, unique)
-        few = resolve(left, right, "who", "ts", window, unique, few_log_rows=True)
-        assert {r["id"]: r["rev_id"] for r in few.collect()} == by_hand(log, revs, window, unique)
+        kinds = [F.lit(min(t for *_, t in log)), F.lit(max(t for *_, t in log))]
+        period = tuple(k.cast(kind) for k in kinds)
+        timed = resolve(left, right, "who", "ts", window, unique, period=period)
+        assert {r["id"]: r["rev_id"] for r in timed.collect()} == by_hand(log, revs, window, unique)
 
 
 def test_both_ends_count_and_rows_are_kept(spark):

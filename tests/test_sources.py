@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators.entries import attach_revisions, shape_entries
-from palaver.plans.ingest import coded_entries, store, with_revisions
+from palaver.plans.ingest import coded_entries, store, unfilled, with_revisions
 from palaver.sources import delimited, documents, registry, revisions
 from palaver.streaming.ingest import ingest_stream, still_pending, stored_entries
 
@@ -83,7 +83,11 @@ def test_models_are_replaced_by_label_and_tags(spark):
     kept = registry.save_models(kept, trained("a", 2.0), ["a"], {"cv": 2})
     kept = registry.save_models(kept, trained("a", 3.0), ["a"], {"cv": 1})
     assert [r["weight"] for r in registry.load_models(kept, {"cv": 1}).collect()] == [3.0]
-    assert sorted(r["weight"] for r in registry.load_models(kept).collect()) == [2.0, 3.0]
+    plain = registry.save_models(kept, trained("a", 4.0), ["a"], {})
+    assert sorted(r["weight"] for r in plain.collect()) == [2.0, 3.0, 4.0]
+    later = trained("a", 5.0).withColumn("trained_at", F.lit("2012-01-01").cast("timestamp"))
+    plain = registry.save_models(plain, later, ["a"], {"cv": 7})
+    assert [r["weight"] for r in registry.load_models(plain).collect()] == [5.0]
 
 
 def response(title, *revs):
@@ -127,12 +131,23 @@ def test_a_malformed_response_is_not_lost_silently(spark):
 
 
 def test_stored_entries_are_skipped_or_replaced(spark):
-    fresh = coded(spark)
-    stored = fresh.where("rev_id < 3").drop("rev_id")
-    rows = spark.createDataFrame([("1", "1"), ("3", "1")], "rev string, good string")
+    xml = spark.createDataFrame([response("T", (1, ADDED), (2, None))], "xml string")
+    stored = store(coded(spark).limit(0), with_revisions(coded(spark).where("entry.id.rev_id < 3"), xml))
+    rows = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1")], "rev string, good string")
     left = coded_entries(rows, "rev", {"good": "good"}, stored=stored, skip=True)
-    assert [r["rev_id"] for r in left.collect()] == [3]
-    assert store(stored, left).count() == 3
+    assert sorted(r["entry"]["id"]["rev_id"] for r in left.collect()) == [2, 3]
+    assert sorted(r["rev_id"] for r in unfilled(left).collect()) == [2, 3]
+    every = coded_entries(rows, "rev", {"good": "good"})
+    kept = {r["entry"]["id"]["rev_id"]: r["entry"]["content"]["added"] for r in store(stored, every).collect()}
+    assert kept == {1: ["hi"], 2: [], 3: []}
+
+
+def test_ids_that_are_no_numbers_stay_apart(spark):
+    rows = spark.createDataFrame([("12a", "1", "7"), ("13b", "0", "07"), ("12a", "1", "8")], "rev string, good string, part string")
+    entries = coded_entries(rows, {"rev_id": "rev", "part": "part"}, {"good": "good"}, "good")
+    stored = store(entries.limit(0), entries)
+    assert stored.count() == 3
+    assert coded_entries(rows, {"rev_id": "rev", "part": "part"}, {}, "good", stored, skip=True).count() == 0
 
 
 def test_stream_asks_again_for_pending_revisions(spark, tmp_path):

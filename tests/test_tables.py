@@ -113,12 +113,11 @@ def rank_by_hand(rows, labs, threshold):
     return out
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_margin_ranks_with_many_ties(spark, few):
+def test_margin_ranks_with_many_ties(spark):
     rnd = random.Random(1)
     rows = [(i, *[rnd.choice([0.25, 0.5, 0.5, 0.75]) for _ in "ab"]) for i in range(300)]
     scored = spark.createDataFrame(rows, "id int, p_a double, p_b double")
-    found = ranking.label_lists(scored, ["a", "b"], 0.5, "id", few_rows=few)
+    found = ranking.label_lists(scored, ["a", "b"], 0.5, "id")
     assert {(r["label"], r["id"]): r["rank"] for r in found.collect()} == rank_by_hand(
         rows, ["a", "b"], 0.5)
     counts = {r["label"]: r["above"] for r in
@@ -131,16 +130,15 @@ def test_margin_ranks_with_many_ties(spark, few):
 
 def test_one_label_is_ranked_by_score(spark):
     scored = spark.createDataFrame([(1, 0.6), (2, 0.9), (3, 0.1)], "id int, p_a double")
-    found = ranking.label_lists(scored, ["a"], 0.5, "id", few_rows=True)
+    found = ranking.label_lists(scored, ["a"], 0.5, "id")
     assert [r["id"] for r in found.orderBy("rank").collect()] == [2, 1]
 
 
 @pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
-def test_newest_by_counts_equals_a_sort(spark, monkeypatch, kind):
+def test_newest_by_counts_equals_a_sort(spark, kind):
     rows = spark.range(3000).withColumn(
         "ts", F.expr(f"{kind}'2011-01-01 00:00:00' + make_interval(0,0,0,0,0,0,"
                      "pmod(hash(id), 40000) / 2)"))
     plain = [r["id"] for r in ranking.newest(rows, "ts", "id", 700).collect()]
-    monkeypatch.setattr(ranking, "MERGEABLE", 10)
-    assert [r["id"] for r in ranking.newest(rows, "ts", "id", 700).collect()] == plain
-    assert ranking.newest(rows, "ts", "id", 5000).count() == 3000
+    assert [r["id"] for r in ranking.newest_counted(rows, "ts", "id", 700).collect()] == plain
+    assert ranking.newest_counted(rows, "ts", "id", 5000).count() == 3000
