@@ -57,8 +57,8 @@ def pattern_expand(spark, sf_dir):
 
 
 @query("pattern_dict", r"""
-WITH l AS (SELECT doc_id || chr(9) || replace(replace(unnest(string_split(text, chr(10))),
-        ',', chr(9)), '.', CASE WHEN n_chars % 2 = 0 THEN '#' ELSE '\#' END) ||
+WITH l AS (SELECT doc_id || chr(9) || 'x' || replace(replace(unnest(string_split(text, chr(10))),
+        chr(9), ' '), '.', CASE WHEN n_chars % 2 = 0 THEN '#' ELSE '\#' END) ||
         CASE WHEN n_chars % 3 = 0 THEN chr(9) || 'expand,binary' ELSE '' END AS line
     FROM documents),
 k AS (SELECT CASE WHEN instr(line, '#') = 0 OR (instr(line, '#') > 1 AND
@@ -73,9 +73,9 @@ def pattern_dict(spark, sf_dir):
     line = F.explode(F.split("text", "\n")).alias("line")
     docs = inp.texts(spark, sf_dir).select("doc_id", "n_chars", line)
     sign = F.when(F.pmod("n_chars", F.lit(2)) == 0, "#").otherwise("\\#")
-    body = F.replace(F.replace(F.col("line"), F.lit(","), F.lit("\t")), F.lit("."), sign)
+    body = F.replace(F.replace(F.col("line"), F.lit("\t"), F.lit(" ")), F.lit("."), sign)
     flags = F.when(F.pmod("n_chars", F.lit(3)) == 0, "\texpand,binary").otherwise("")
-    value = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), body, flags)
+    value = F.concat(F.col("doc_id").cast("string"), F.lit("\tx"), body, flags)
     return pattern_dictionary(docs.select(value.alias("value")))
 
 
