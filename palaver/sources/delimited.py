@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def read_delimited(
@@ -16,13 +17,65 @@ def read_delimited(
 ) -> DataFrame:
     """All cells as text; empty cells are NULL, blank lines are skipped.
 
-    Give ``schema`` to name the columns; without it the first line says how many there are, so
-    a table whose rows may be longer than that needs one.
+    Give ``schema`` to name the columns; without it the first line says how many there are. A row
+    with fewer cells is filled up with NULL, one with more stops the job, as its further cells would
+    be lost; ``read_cells`` reads rows of any length.
 
     Several paths are read as one table and each file's header is dropped. ``multiline`` lets
     a quoted cell hold line breaks, which makes each file one task: write large tables as
     many files, or turn it off when cells are known to be single lines so files can split.
     """
+    rows = _with_records(spark, paths, delimiter, header, schema, multiline)
+    names = rows.columns[:-1]
+    cells = split_record(F.col(RECORD), delimiter)
+    wrong = F.raise_error(F.concat(F.lit(f"more than {len(names)} cells: "), F.col(RECORD))).cast("string")
+    too_long = F.size(cells) > len(names)  # NULL for a row that fits
+    first = F.when(too_long, wrong).otherwise(F.col(f"`{names[0]}`")).alias(names[0])
+    return rows.select(first, *[F.col(f"`{n}`") for n in names[1:]])
+
+
+def read_cells(
+    spark: SparkSession, paths: str | list[str], delimiter: str = ",", multiline: bool = True
+) -> DataFrame:
+    """One array ``cells`` per row, of the row's own length; blank lines are skipped."""
+    rows = _with_records(spark, paths, delimiter, False, None, multiline)
+    plain = F.array(*[F.col(f"`{n}`") for n in rows.columns[:-1]])
+    record = F.col(RECORD)
+    return rows.select(F.when(record.isNull(), plain).otherwise(split_record(record, delimiter)).alias("cells"))
+
+
+RECORD = "_record"
+
+
+def split_record(record: Column, delimiter: str) -> Column:
+    """The cells of one record as it stands in the file; empty ones are NULL."""
+    sign = "\\" + delimiter
+    cell = f'(?s)(?:^|{sign})("(?:[^"]++|"")*+"|[^{sign}]*+)'
+    found = F.regexp_extract_all(record, F.lit(cell), F.lit(1))
+
+    def bare(x: Column) -> Column:
+        inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(x.startswith('"'), inner).otherwise(x), F.lit(""))
+
+    return F.transform(found, bare)
+
+
+def join_cells(cells: Column, delimiter: str) -> Column:
+    """The record of an array of cells; the record of a single empty cell is not a blank line."""
+
+    def quoted(x: Column) -> Column:
+        needs = x.contains('"') | x.contains(delimiter) | x.rlike(r"[\r\n]|^\s|\s$")
+        inside = F.replace(x, F.lit('"'), F.lit('""'))
+        return F.when(needs, F.concat(F.lit('"'), inside, F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+
+    record = F.array_join(F.transform(cells, quoted), delimiter)
+    return F.when(record == "", '""').otherwise(record)
+
+
+def _with_records(
+    spark: SparkSession, paths: str | list[str], delimiter: str, header: bool, schema: str | None, multiline: bool
+) -> DataFrame:
+    """The table, and as its last column the record of each row that has another number of cells."""
     reader = (
         spark.read.option("sep", delimiter)
         .option("header", header)
@@ -34,21 +87,24 @@ def read_delimited(
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(paths)
+    columns = reader.schema(schema).csv(paths).schema if schema is not None else reader.csv(paths).schema
+    reader = reader.option("columnNameOfCorruptRecord", RECORD)
+    return reader.schema(StructType(columns.fields).add(RECORD, StringType())).csv(paths)
 
 
 def write_delimited(
     df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "error"
 ) -> None:
+    # In a table of one column an empty cell would be a blank line, and skipped when read.
+    empty = '""' if len(df.columns) == 1 else ""
     (
         df.write.mode(mode)
         .option("sep", delimiter)
         .option("header", header)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
+        .option("emptyValue", empty)
+        .option("nullValue", empty)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -62,9 +118,10 @@ def transcode(
     delimiter_in: str = ",",
     delimiter_out: str = ",",
 ) -> None:
-    """Rewrite a table with another delimiter; a header row is carried like any row."""
-    rows = read_delimited(spark, source, delimiter_in, header=False)
-    write_delimited(rows, target, delimiter_out, header=False)
+    """Rewrite a table with another delimiter; a header row is carried like any row, and rows may
+    differ in length."""
+    rows = read_cells(spark, source, delimiter_in)
+    rows.select(join_cells(F.col("cells"), delimiter_out).alias("value")).write.text(target)
 
 
 def nth(df: DataFrame, position: int) -> Column:

@@ -93,18 +93,19 @@ def resolve_any(spark, sf_dir):
     return found.select("id", "sender_id", "rev_id")
 
 
-# Every tenth user is anonymous: id 0 and known by text only.
+# Every tenth user is anonymous: id 0 and known by text only. Some rows have no sender.
 
 
 @query("resolve_any_union", f"""
 WITH {inp.LOG_SQL}, {candidates_sql()}
-SELECT id, CASE WHEN sender_id % 10 = 0 THEN 0 ELSE sender_id END AS sender_id,
-    sender_id::VARCHAR AS sender_name, ts, first_rev AS rev_id FROM log JOIN hits USING (id)""")
+SELECT id, CASE WHEN id % 13 = 0 THEN NULL WHEN sender_id % 10 = 0 THEN 0 ELSE sender_id END AS sender_id,
+    sender_id::VARCHAR AS sender_name, ts, CASE WHEN id % 13 <> 0 THEN first_rev END AS rev_id
+FROM log JOIN hits USING (id)""")
 def resolve_any_union(spark, sf_dir):
     hidden = F.when(F.pmod("sender_id", F.lit(10)) == 0, 0).otherwise(F.col("sender_id"))
     log = inp.log(spark, sf_dir).select(
         "id", F.col("sender_id").cast("string").alias("sender_name"),
-        hidden.alias("sender_id"), "ts",
+        F.when(F.pmod("id", F.lit(13)) != 0, hidden).alias("sender_id"), "ts",
     )
     actor = F.col("actor")
     revs = inp.revisions(spark, sf_dir).select(

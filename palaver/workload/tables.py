@@ -53,6 +53,36 @@ def csv_roundtrip(spark, sf_dir):
     )
 
 
+@query("csv_ragged", """
+SELECT concat_ws(chr(9), doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN source END,
+    CASE WHEN doc_id % 3 = 0 THEN replace('~a ' || chr(9) || ' ~~b~~~', '~', chr(34)) END,
+    CASE WHEN doc_id % 6 = 0 THEN 'x,y' END) AS line FROM documents WHERE doc_id % 7 <> 1""")
+def csv_ragged(spark, sf_dir):
+    """Rows of two, four and five cells and blank lines, from commas to tabs."""
+    comma, tab = scratch_path(spark, "comma"), scratch_path(spark, "tab")
+    third = F.pmod("doc_id", F.lit(3)) == 0
+    line = F.concat_ws(
+        ",", F.col("doc_id").cast("string"), "lang", F.when(third, F.col("source")),
+        F.when(third, F.lit('"a \t ""b"""')), F.when(F.pmod("doc_id", F.lit(6)) == 0, F.lit('"x,y"')),
+    )
+    lines = table(spark, sf_dir, "documents").select(
+        F.when(F.pmod("doc_id", F.lit(7)) == 1, F.lit("")).otherwise(line).alias("value")
+    )
+    lines.write.text(comma)
+    delimited.transcode(spark, comma, tab, ",", "\t")
+    return spark.read.text(tab).withColumnRenamed("value", "line")
+
+
+@query("csv_one_column", """
+SELECT CASE WHEN doc_id % 3 = 2 THEN lang END AS cell FROM documents""")
+def csv_one_column(spark, sf_dir):
+    path = scratch_path(spark, "one")
+    kind = F.pmod("doc_id", F.lit(3))
+    cell = F.when(kind == 1, F.lit("")).when(kind == 2, F.col("lang"))
+    delimited.write_delimited(table(spark, sf_dir, "documents").select(cell.alias("cell")), path)
+    return delimited.read_delimited(spark, path, header=True, schema="cell string")
+
+
 def _documents(spark, sf_dir):
     """Documents under the entry schema, with coded labels where there are any."""
     coded = table(spark, sf_dir, "labels").select(
