@@ -235,7 +235,8 @@ coded AS (SELECT 'quality' AS label, quality AS y FROM labels JOIN documents USI
 @query("train_l1", f"WITH {CODED_SQL} SELECT label, count(y) AS n, true AS optimal FROM coded GROUP BY label")
 def train_l1(spark, sf_dir):
     vectors = _training_vectors(spark, sf_dir)
-    found = optimality(vectors, train_models(vectors, CODES, inp.BITS), CODES, inp.BITS)
+    weights = train_models(vectors, CODES, inp.BITS, max_iter=400)
+    found = optimality(vectors, weights, CODES, inp.BITS)
     return found.select("label", "n", (F.col("gap") < 0.05).alias("optimal"))
 
 
