@@ -44,7 +44,12 @@ class Pattern:
 
     @property
     def groups(self) -> int:
-        return re.compile(self.regex).groups
+        """Groups as Java, which runs the pattern, counts them."""
+        if "(?P<" in self.regex:
+            raise ValueError(f"a named group is written (?<name>…) here: {self.regex}")
+        # Quoted stretches, escapes and classes (with one class inside) hold no groups.
+        plain = re.sub(r"\\Q.*?(?:\\E|\Z)|\\.|\[\^?\]?(?:\\.|\[[^\]]*\]|[^\]\\])*\]", "", self.regex, flags=re.S)
+        return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", plain))
 
 
 def pattern_presence(

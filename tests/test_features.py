@@ -133,3 +133,18 @@ def test_a_users_own_valued_extractor(spark, entries):
     assert 0.5 in {v["value"] for v in row["vector"]}
     table = fx.feature_table(entries, [ValuedExtractor()]).where("id = 2 and feature = 'removed_size'")
     assert table.first()["value"] == 0.5
+
+
+@pytest.mark.parametrize("regex,groups", [
+    ("(a)(b(c))", 3), (r"\(a\)(b)", 1), ("(?:a)(?=b)(?<=c)(?<!d)(?i)x", 0), ("(?<w>a+)(b)", 2),
+    ("[(](a)[])(]", 1), (r"[\](](a)", 1), (r"\Q(x)\E(a)", 1), ("[a&&[(b)]](c)", 1), ("", 0),
+])
+def test_groups_are_counted_as_java_does(spark, regex, groups):
+    assert Pattern("p", regex).groups == groups
+    matcher = spark._jvm.java.util.regex.Pattern.compile(regex).matcher("")
+    assert matcher.groupCount() == groups
+
+
+def test_other_dialects_are_refused():
+    with pytest.raises(ValueError, match="named group"):
+        Pattern("p", "(?P<w>a)").groups

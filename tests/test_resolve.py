@@ -82,3 +82,15 @@ def test_anonymous_actors_go_by_text(spark):
         "user_id int, user_text string, ts timestamp_ntz, rev_id int")
     found = resolve_registered_and_anonymous(log, revs, "uid", "name", "ts")
     assert {r["id"]: r["rev_id"] for r in found.collect()} == {1: 11, 2: 12, 3: None}
+
+
+def test_the_period_reaches_the_scan_of_the_revisions(spark, tmp_path):
+    at = START + timedelta(seconds=1000)
+    left, right = tables(spark, [(1, 1, at)], [(1, at, 7)], "timestamp_ntz")
+    right.write.parquet(str(tmp_path / "rev"))
+    stored = spark.read.parquet(str(tmp_path / "rev"))
+    period = (F.lit(at).cast("timestamp_ntz"), F.lit(at).cast("timestamp_ntz"))
+    found = resolve(left, stored, "who", "ts", 10, period=period)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThanOrEqual(ts," in plan
+    assert [r["rev_id"] for r in found.collect()] == [7]
