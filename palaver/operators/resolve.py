@@ -126,6 +126,7 @@ def resolve_registered_and_anonymous(
     actor_text: str,
     ts: str,
     window: int = 10,
+    period: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Registered actors (id ≠ 0) by id, anonymous ones by text; first candidate each.
 
@@ -142,7 +143,7 @@ def resolve_registered_and_anonymous(
     names = F.array_compact(F.array(by_id("user_id"), by_text("user_text")))
     named = revisions.select(F.explode(names).alias("actor"), "ts", "rev_id")
     own = F.when(F.col(actor_id) == 0, by_text(actor_text)).otherwise(by_id(actor_id))
-    found = resolve(log.withColumn("_who", own), named, "_who", ts, window, unique=False)
+    found = resolve(log.withColumn("_who", own), named, "_who", ts, window, unique=False, period=period)
     return found.drop("_who")
 
 

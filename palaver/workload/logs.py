@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.operators import filters, joins, ranking, resolve
+from palaver.plans import extracts
 from palaver.streaming.trailing import trailing_window
 from palaver.workload import inputs as inp
 from palaver.workload.registry import query
@@ -118,6 +119,42 @@ def resolve_any_union(spark, sf_dir):
     return resolve.flatten_log(found, ["id", "sender_id", "sender_name", "ts"])
 
 
+EXTRACT = ("2024-01-05 00:00:00", "2024-01-25 00:00:00")
+
+
+@query("filter_log_extract", f"""
+WITH acts AS (SELECT event_id AS id, ts, (user_id % 3)::INTEGER AS filter, event_type AS action,
+        CASE WHEN user_id % 10 = 0 THEN 0 ELSE user_id END AS actor_id, user_id::VARCHAR AS actor_text,
+        'Customer#' || lpad((json_extract_string(props, '$.k')::BIGINT * 17)::VARCHAR, 9, '0') AS title,
+        user_id AS actor FROM events WHERE event_type <> 'click'),
+log AS (SELECT * FROM acts WHERE filter = 1 AND action = 'error'
+    AND ts BETWEEN TIMESTAMP '{EXTRACT[0]}' AND TIMESTAMP '{EXTRACT[1]}'),
+rev AS (SELECT user_id AS actor, ts, event_id AS rev_id FROM events WHERE event_type = 'click'),
+users AS (SELECT c_custkey AS user_id, c_name AS user_name FROM customer), {candidates_sql("log.actor")}
+SELECT first_rev AS rev_id, actor_id AS sender_id, actor_text AS sender_name, user_id AS receiver_id,
+    title AS receiver_name, ts AS timestamp, NULL::VARCHAR AS message, id, ts, filter, action,
+    actor_id, actor_text, title
+FROM log JOIN hits USING (id) LEFT JOIN users ON user_name = title""")
+def filter_log_extract(spark, sf_dir):
+    events = inp.table(spark, sf_dir, "events")
+    hidden = F.when(F.pmod("user_id", F.lit(10)) == 0, 0).otherwise(F.col("user_id"))
+    name = F.col("user_id").cast("string")
+    target = (F.get_json_object("props", "$.k").cast("bigint") * 17).cast("string")
+    log = events.where("event_type <> 'click'").select(
+        F.col("event_id").alias("id"), "ts", F.pmod("user_id", F.lit(3)).cast("int").alias("filter"),
+        F.col("event_type").alias("action"), hidden.alias("actor_id"), name.alias("actor_text"),
+        F.concat(F.lit("Customer#"), F.lpad(target, 9, "0")).alias("title"),
+    )
+    revs = events.where("event_type = 'click'").select(
+        hidden.alias("user_id"), name.alias("user_text"), "ts", F.col("event_id").alias("rev_id")
+    )
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in EXTRACT)
+    found = extracts.filter_log_extract(
+        log, inp.users(spark, sf_dir), revs, 1, "error", start, end, inp.WINDOW
+    )
+    return extracts.flattened(found)
+
+
 @query("newest_n", "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 1000")
 def newest_n(spark, sf_dir):
     rows = inp.table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
