@@ -13,6 +13,10 @@ from palaver.operators.training import optimality, train_models
 from palaver.plans.evaluate import cross_validate, training_fit
 from palaver.plans.report import report
 from palaver.session import materialize, scratch_path
+from palaver.operators.filters import filter_paths
+from palaver.plans import stored
+from palaver.schemas import MODEL_WEIGHTS
+from palaver.sources.documents import scan_entries
 from palaver.sources.registry import load_models, read_registry, save_models, write_registry
 from palaver.workload import inputs as inp
 from palaver.workload.registry import query
@@ -225,6 +229,42 @@ def _training_vectors(spark, sf_dir):
     return materialize(vectors.select("id", "labels", "vector"))
 
 
+@query("stored_predictions", f"""WITH {inp.SCORES_WIDE_SQL},
+sets AS (SELECT id, count(DISTINCT feature) AS n_features FROM (
+    {inp.ngram_sql("ch", "text", 2, "ngram2")}) GROUP BY id)
+SELECT id, n_features, p_praise, p_critique, p_other FROM wide JOIN sets USING (id)
+WHERE id % 5 IN (1, 2)""")
+def stored_predictions(spark, sf_dir):
+    """Entries are stored with features and vector, found again by slice and scored by a stored model."""
+    shaped = F.struct(
+        F.struct(F.col("id").alias("rev_id"), F.col("id").cast("string").alias("rev_text")).alias("id"),
+        F.col("comment").alias("comment"),
+        F.struct("added", "removed").alias("content"),
+    )
+    docs = inp.entries(spark, sf_dir).select(
+        shaped.alias("entry"), F.struct(F.pmod("id", F.lit(5)).cast("int").alias("slice")).alias("internal")
+    )
+    path, models = scratch_path(spark, "entries"), scratch_path(spark, "registry")
+    stored.with_features(docs, [NgramExtractor(2)], inp.BITS).write.parquet(path)
+    tags = {"cross-validation": "2"}
+    weights = inp.weights(spark).withColumn("trained_at", F.lit("2011-01-01 00:00:00").cast("timestamp"))
+    empty = spark.createDataFrame([], MODEL_WEIGHTS)
+    other = weights.withColumn("weight", -F.col("weight"))
+    kept = save_models(save_models(empty, weights, inp.LABELS, tags), other, inp.LABELS, {})
+    write_registry(kept, models)
+
+    found = scan_entries(spark, path)
+    found = filter_paths(found, {"internal.slice": F.col("internal.slice") == 0}, {
+        "internal.slice": F.col("internal.slice").isin(1, 2)})
+    scored = stored.stored_scores(found, read_registry(spark, models), inp.LABELS, tags, bits=inp.BITS)
+    sizes = found.select(
+        F.col("entry.id.rev_id").alias("id"), F.size(F.col("features")["ngram2"]).cast("bigint").alias("n_features")
+    )
+    return scored.join(sizes, "id").select(
+        "id", "n_features", *[F.round(f"p_{lab}", 6).alias(f"p_{lab}") for lab in inp.LABELS]
+    )
+
+
 # SQL cannot fit a model, but can say what holds for a right one.
 
 CODED_SQL = """
