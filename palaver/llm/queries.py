@@ -128,7 +128,7 @@ on c.page_id is not distinct from m.page_id and c.url = m.url and c.fetched_at =
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast((page_id * 7919) % 525600 as int))")
     captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    return url_lists.evaluate(captures, list_entries(captures))
+    return url_lists.evaluate(captures, list_entries(captures), url_lists.ALL_DEPTHS)
 
 
 @query("op7_quality")
