@@ -54,11 +54,13 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
     """Rows ``(doc_id, alone, fp)``, one per document; ``fp`` is the fingerprint as a signed long.
 
-    ``alone`` tells rows without an id apart by a hash of their text; it is 0 for all others.
+    ``alone`` is ``mark``; by default it tells rows without an id apart by a hash of their text and is
+    0 for all others.
     """
+    mark = row_mark() if mark is None else mark
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,12 +70,16 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 [batch.column(0), batch.column(1), fp], ["doc_id", "alone", "fp"]
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("alone"), utf8())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("alone"), utf8())
     return rows.mapInArrow(scan, "doc_id long, alone long, fp long")
 
 
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def row_mark() -> Column:
-    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0))
+    return F.when(F.col("doc_id").isNull(), text_mark()).otherwise(F.lit(0))
 
 
 def blocks(count: int) -> list[tuple[int, int]]:
@@ -232,17 +238,21 @@ def trie_links(fps: DataFrame, budget: int = BUDGET, exact: int = EXACT, trie_ro
 
 
 def near_duplicates(
-    documents: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, exact: int = EXACT
+    documents: DataFrame,
+    budget: int = BUDGET,
+    shingle: int = SHINGLE,
+    exact: int = EXACT,
+    mark: Column | None = None,
 ) -> DataFrame:
     """Rows ``(doc_id, alone, fingerprint, component_id, kept)``, one per document.
 
     ``component_id`` is the smallest id reachable over links of at most ``budget`` differing bits;
     exactly one row of a component is ``kept``, that of the smallest id (of rows with one id, all are
-    marked: they cannot be told apart here). Null texts count as empty; empty texts have fingerprint
+    marked: they cannot be told apart here, unless ``mark`` does). Null texts count as empty; empty texts have fingerprint
     0 and link like any other. Rows without an id take part: a component of such rows alone has a
     null ``component_id`` and keeps the row with the smallest ``alone``. An empty table gives none.
     """
-    marks = written(fingerprints(documents, shingle), "fingerprints")
+    marks = written(fingerprints(documents, shingle, mark), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "alone")).alias("first")
     classes = marks.groupBy("fp").agg(first)
     component = connected_components(trie_links(classes.select("fp"), budget, exact))
@@ -263,14 +273,15 @@ def near_duplicates(
 def drop_near_duplicates(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The documents, all columns, with one row of each component: that of the smallest id.
 
-    Rows that repeat an id (or, without ids, a text) count as one; of these the smallest text stays.
+    Rows are decided on by id and text. Of those kept under one id (or, without ids, of one text) the
+    smallest text stays; ``near_texts.drop_near_texts`` keeps different texts under one id.
     """
-    kept = near_duplicates(documents, budget).where("kept").select("doc_id", "alone").distinct()
+    kept = near_duplicates(documents, budget, mark=text_mark()).where("kept").select("doc_id", "alone").distinct()
     mark = "__alone"
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("alone").alias("__mark"))
-    marked = documents.withColumn(mark, row_mark())
+    marked = documents.withColumn(mark, text_mark())
     rows = marked.join(
         kept, marked.doc_id.eqNullSafe(kept["__id"]) & (marked[mark] == kept["__mark"]), "left_semi"
     )
-    one = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("text"))
+    one = F.row_number().over(Window.partitionBy("doc_id", row_mark()).orderBy("text"))
     return rows.withColumn("__row", one).where("__row = 1").drop("__row", mark)
