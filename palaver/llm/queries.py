@@ -13,6 +13,7 @@ from palaver.llm import (
     fingerprints,
     language_model,
     licenses,
+    manifest,
     mixing,
     packing,
     pii,
@@ -192,6 +193,63 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+
+def level_sql(name: str, level: int) -> str:
+    """One level up from ``{name}_nodes_k`` and ``{name}_way_k``; a tree of one node stays as it is."""
+    k, up = level, level + 1
+    others = "array_to_string(children[1:pos % 16] || children[pos % 16 + 2:], '')"
+    folded = "sha256(array_to_string(children[1:pos % 16] || [folded] || children[pos % 16 + 2:], ''))"
+    return f"""
+{name}_runs_{k} as (
+  select tree, pos // 16 as run, list(digest order by pos) as children, any_value(n) as n
+  from {name}_nodes_{k} group by tree, pos // 16),
+{name}_nodes_{up} as (
+  select tree, run as pos, case when n = 1 then children[1] else sha256(array_to_string(children, '')) end as digest,
+    (n + 15) // 16 as n from {name}_runs_{k}),
+{name}_way_{up} as (
+  select key, tree, case when n = 1 then pos else pos // 16 end as pos,
+    case when n = 1 then siblings else siblings || {others} end as siblings,
+    case when n = 1 then folded else {folded} end as folded
+  from {name}_way_{k} join {name}_runs_{k} using (tree) where run = pos // 16),"""
+
+
+LEAF_SQL = " || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars")))
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 by bits; 3988292384 is its reversed polynomial.
+CRC_SQL = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda d, bit: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+#: Six levels hold 16 million documents a source, and as many sources.
+MANIFEST_SQL = f"""
+with leaves as (
+  select doc_id, source, sha256({LEAF_SQL} || {field_sql("text")}) as leaf,
+    case when {CRC_SQL} % 5 = 0 then sha256({LEAF_SQL} || {field_sql(LOWER_SQL)}) end as tampered
+  from documents),
+places as (
+  select *, row_number() over () as key, dense_rank() over (order by source nulls first) - 1 as tree,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by source) as n
+  from leaves),
+own_nodes_0 as (select tree, pos, leaf as digest, n from places),
+own_way_0 as (select key, tree, pos, '' as siblings, coalesce(tampered, leaf) as folded from places),
+{"".join(level_sql("own", k) for k in range(6))}
+all_nodes_0 as (select 0 as tree, tree as pos, digest, count(*) over () as n from own_nodes_6),
+all_way_0 as (select key, 0 as tree, tree as pos, siblings, folded from own_way_6),
+{"".join(level_sql("all", k) for k in range(6))}
+ends as (select any_value(digest) as root from all_nodes_6)
+select doc_id, leaf, s.digest as subroot, root, sha256(siblings) as proof_sha256, folded as folded_root, folded = root as verified
+from places p join own_nodes_6 s using (tree) join all_way_6 w using (key) cross join ends
+"""
+
+
+@query("op11_manifest", MANIFEST_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
