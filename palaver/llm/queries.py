@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palaver.llm import (
+    alignment,
     embedding_dedup,
     fingerprints,
     language_model,
@@ -19,6 +20,7 @@ from palaver.llm import (
     pii,
     quality,
     simhash_dedup,
+    token_packing,
     url_lists,
 )
 from palaver.llm.common import table
@@ -250,6 +252,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
