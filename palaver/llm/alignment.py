@@ -11,7 +11,6 @@ documents in a join.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -28,6 +27,9 @@ from palaver.session import written
 HOT = 1_000_000
 #: Distinct pairs a counting task holds before it hands them on.
 HELD = 2_000_000
+#: Texts aligned together, and neighbours of the middle tried one by one.
+TOGETHER = 256
+PROBES = 8
 #: Links of a group beyond which its pairs are counted by distinct ids.
 WIDE = 65_536
 
@@ -36,41 +38,54 @@ LAYOUT = (
 )
 
 
-def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Tokens of each side before each shared end, ascending; ``a`` and ``b`` are token ends with one last end.
+def near_middle(a: np.ndarray, b: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval the token of ``a``, not its last, with a shared end nearest the middle, and ``b``'s; or -1.
 
-    The first candidate is the token in the middle of the interval, then its neighbours in turn.
+    Each candidate's end is bisected for in ``b``: the middle, then its neighbours in turn. An interval that
+    has no cut that near has all its other candidates tried at once.
     """
-    cuts, stack = [], [(0, len(a), 0, len(b))]
-    while stack:
-        a0, a1, b0, b1 = stack.pop()
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            right = (a0 + a1 - 1) // 2
-            left = right - 1
-            while True:
-                if right < a1 - 1:
-                    end = a[right]
-                    j = bisect_left(b, end, b0, b1)
-                    if b[j] == end:
-                        k = right
-                        break
-                    right += 1
-                elif left < a0:
-                    k = -1
-                    break
-                if left >= a0:
-                    end = a[left]
-                    j = bisect_left(b, end, b0, b1)
-                    if b[j] == end:
-                        k = left
-                        break
-                    left -= 1
-            if k >= 0:
-                stack.append((k + 1, a1, j + 1, b1))
-                stack.append((a0, k + 1, b0, j + 1))
-                continue
-        cuts.append((a1, b1))
-    return cuts
+    middle = (a0 + a1 - 2) // 2
+    found, partner = np.full(len(a0), -1), np.full(len(a0), -1)
+    waiting = np.arange(len(a0))
+    for step in range(PROBES):
+        at = middle[waiting] + (step + 1) // 2 * (1 if step % 2 else -1)
+        inside = (at >= a0[waiting]) & (at < a1[waiting] - 1)
+        end = a[np.where(inside, at, 0)]
+        j = np.searchsorted(b, end)
+        hit = inside & (b[j] == end)
+        found[waiting[hit]], partner[waiting[hit]] = at[hit], j[hit]
+        waiting = waiting[~hit]
+        waiting = waiting[(a1 - a0)[waiting] - 1 > step + 1]
+    for k in waiting:
+        end = a[a0[k] : a1[k] - 1]
+        j = np.searchsorted(b, end)
+        hits = np.flatnonzero(b[j] == end)
+        if len(hits):
+            best = hits[np.argmin(np.abs(hits + a0[k] - middle[k]))]
+            found[k], partner[k] = a0[k] + best, j[best]
+    return found, partner
+
+
+def shared_cuts(a: np.ndarray, b: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """For each token of ``a`` the token of ``b`` that ends where it ends, or -1.
+
+    ``a`` and ``b`` are the ends of the tokens of some texts, ascending over all of them; ``firsts`` has each
+    text's first tokens on both sides, then the numbers of all. The intervals of all texts are divided
+    together, a level at a time.
+    """
+    partner = np.full(len(a), -1)
+    (a0, b0), (a1, b1) = firsts[:-1].T, firsts[1:].T
+    partner[a1 - 1] = b1 - 1
+    while len(a0):
+        wide = (a1 - a0 > 1) & (b1 - b0 > 1)
+        a0, a1, b0, b1 = a0[wide], a1[wide], b0[wide], b1[wide]
+        k, j = near_middle(a, b, a0, a1)
+        cut = k >= 0
+        a0, a1, b0, b1, k, j = (x[cut] for x in (a0, a1, b0, b1, k, j))
+        partner[k] = j
+        a0, a1 = np.stack([a0, k + 1], 1).ravel(), np.stack([k + 1, a1], 1).ravel()
+        b0, b1 = np.stack([b0, j + 1], 1).ravel(), np.stack([j + 1, b1], 1).ravel()
+    return partner
 
 
 def linked(a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,30 +122,48 @@ class Aligner:
         if max(len(self.a.bytes), len(self.b.bytes)) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.sizes = [np.array(list(map(len, v.bytes))) for v in (self.a, self.b)]
-        self.names = list(map(str, range(max(len(self.a.bytes), len(self.b.bytes)))))
-
-    def groups(self, text: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Ids of both sides and the cuts; none if a side does not spell the text."""
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        whole = (" " + text).encode()
-        for vocabulary, ids in ((self.a, a), (self.b, b)):
-            if b"".join(map(vocabulary.bytes.__getitem__, ids.tolist())) != whole:
-                return a[:0], b[:0], []
-        ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (a, b), strict=True)]
-        return a, b, shared_cuts(*ends)
-
-    def row(self, text: str) -> tuple:
-        a, b, cuts = self.groups(text) if text else (None, None, [])
-        if not cuts:
-            return 0, 0, 0, 0, "", b"", b""
-        one, two = (list(map(self.names.__getitem__, ids.tolist())) for ids in (a, b))
-        shown, x, y = [], 0, 0
-        for i, j in cuts:
-            shown.append(",".join(one[x:i]) + "|" + ",".join(two[y:j]))
-            x, y = i, j
-        pairs, times = linked(a, b, np.array(cuts))
-        found = sha256(";".join(shown).encode()).hexdigest()
-        return len(a), len(b), len(cuts), int(times.sum()), found, pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        # What follows an id: another of its side and group, the other side, the next group.
+        self.shown = [f"{i}{after}".encode() for after in ",|;" for i in range(1 << 16)]
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides; none for a text without or one that a side does not spell."""
+        if not text:
+            return None
+        a, b, whole = self.a.encode(" " + text), self.b.encode(text), (" " + text).encode()
+        # Tokens of bytes always spell their text, so their length will do.
+        same = self.sizes[0][a].sum() == len(whole) and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == whole
+        return (a, b) if same else None
+
+    def digest(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> str:
+        """Of the groups as text: the tokens of both sides in the order of groups, each with what follows it."""
+        sizes = np.diff(cuts, axis=0, prepend=0)
+        before = cuts - sizes
+        laid = np.zeros(len(a) + len(b), np.int64)
+        laid[np.arange(len(a)) + np.repeat(before[:, 1], sizes[:, 0])] = a
+        laid[np.arange(len(b)) + np.repeat(cuts[:, 0], sizes[:, 1])] = b
+        laid[cuts[:, 0] + before[:, 1] - 1] += 1 << 16
+        laid[cuts.sum(1) - 1] += 2 << 16
+        return sha256(b"".join(map(self.shown.__getitem__, laid.tolist()))[:-1]).hexdigest()
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        found = [self.ids(text) for text in texts]
+        some = [ids for ids in found if ids is not None]
+        firsts = np.cumsum([(0, 0), *((len(a), len(b)) for a, b in some)], axis=0)
+        ends = [np.cumsum(size[np.concatenate([ids[k] for ids in some])]) if some else None for k, size in enumerate(self.sizes)]
+        partner = shared_cuts(*ends, firsts) if some else None
+        out, number = [], 0
+        for ids in found:
+            if ids is None:
+                out.append((0, 0, 0, 0, "", b"", b""))
+                continue
+            own = partner[firsts[number, 0] : firsts[number + 1, 0]]
+            at = np.flatnonzero(own >= 0)
+            cuts = np.stack([at + 1, own[at] + 1 - firsts[number, 1]], 1)
+            pairs, times = linked(*ids, cuts)
+            sizes = (len(ids[0]), len(ids[1]), len(cuts), int(times.sum()))
+            out.append((*sizes, self.digest(*ids, cuts), pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
+            number += 1
+        return out
 
 
 def aligned(documents: DataFrame, bytes_file: str, ranks_file: str, pieces_file: str) -> DataFrame:
@@ -142,9 +175,9 @@ def aligned(documents: DataFrame, bytes_file: str, ranks_file: str, pieces_file:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(bytes_file, ranks_file, pieces_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                columns = zip(*(aligner.row(t.decode()) for t in batch.column(1).to_pylist()), strict=True)
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                columns = zip(*aligner.rows([t.decode() for t in batch.column(1).to_pylist()]), strict=True)
                 arrays = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
 

@@ -60,7 +60,7 @@ class Bytes:
             found = self.merges.encode(text, add_special_tokens=False).ids
         else:
             found = self.ranks.encode(text, allowed_special=self.allowed, disallowed_special=())
-        return np.array(found, "<u4")
+        return np.fromiter(found, "<u4", len(found))
 
 
 class Pieces:
@@ -75,7 +75,8 @@ class Pieces:
         ]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), "<u4")
+        found = self.model.encode(text)
+        return np.fromiter(found, "<u4", len(found))
 
 
 @lru_cache(maxsize=4)

@@ -18,12 +18,22 @@ def plain_groups(a, b):
     return [(one[end], two[end]) for end in sorted(one.keys() & two.keys())]
 
 
-def test_cuts_against_the_set_of_shared_ends():
+@pytest.mark.parametrize("probes", [1, 8])
+def test_cuts_against_the_set_of_shared_ends(monkeypatch, probes):
+    monkeypatch.setattr(alignment, "PROBES", probes)
     rng = random.Random(1)
-    for _ in range(300):
-        total = rng.randint(1, 60)
-        a, b = (sorted({total, *rng.sample(range(1, total + 1), rng.randint(0, total - 1))}) for _ in "ab")
-        assert alignment.shared_cuts(a, b) == plain_groups(a, b)
+    for _ in range(100):
+        texts = []
+        for _ in range(rng.randint(1, 6)):
+            total = rng.randint(1, 90)
+            texts.append([sorted({total, *rng.sample(range(1, total + 1), rng.randint(0, total - 1))}) for _ in "ab"])
+        firsts = np.cumsum([(0, 0), *((len(a), len(b)) for a, b in texts)], axis=0)
+        before = np.cumsum([0, *(a[-1] for a, _ in texts)])
+        ends = [np.concatenate([np.array(t[k]) + at for t, at in zip(texts, before, strict=False)]) for k in (0, 1)]
+        partner = alignment.shared_cuts(*ends, firsts)
+        for (a, b), (i, j), (i1, _) in zip(texts, firsts, firsts[1:], strict=False):
+            own = partner[i:i1]
+            assert [(k + 1, p + 1 - j) for k, p in enumerate(own) if p >= 0] == plain_groups(a, b)
 
 
 def test_linked_against_plain_pairs(monkeypatch):
