@@ -86,7 +86,8 @@ def mix(
     ``taken`` counts the words the mix takes, repeats included; ``positions`` has one training time
     per pass over the document, in order. A null text has size 0 and is taken 0 times; a null source
     is a source. Rows alike in id and size are interchangeable. With ``carry`` all columns of the
-    documents stay too, and the new ones are packed in one struct ``__mix``.
+    documents come in one struct ``__doc`` and the new ones in another, ``__mix``.
+    An empty table gives none.
     """
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     sizes = written(documents.select(doc_id, "source", word_count().alias("size")), "sizes")
@@ -117,7 +118,9 @@ def mix(
     starts = buckets.withColumn("__low", within).join(tops, ["sid", "__top"])
     starts = written(starts.select("sid", "__bucket", (F.col("__low") + F.col("__high")).alias("__start")), "starts")
 
-    rows = placed(documents.withColumn("__size", word_count()) if carry else sizes.withColumnRenamed("size", "__size"))
+    # The documents travel in one struct, so that none of their names can meet one of these.
+    whole = documents.select(F.struct(*documents.columns).alias("__doc"), doc_id, "source", word_count().alias("__size"))
+    rows = placed(whole if carry else sizes.withColumnRenamed("size", "__size"))
     rows = rows.join(starts, ["sid", "__bucket"])
     order = running("sid", "__bucket").orderBy("__order", "doc_id", "__size")
     rows = rows.withColumn("__at", F.col("__start") + sum_before("__size", order))
@@ -147,7 +150,7 @@ def mix(
     }
     if carry:
         packed = F.struct(*(c.alias(k) for k, c in new.items())).alias("__mix")
-        return rows.select(*(F.col(c) for c in documents.columns), packed)
+        return rows.select("__doc", "doc_id", packed)
     return rows.select("doc_id", *(c.alias(k) for k, c in new.items()))
 
 
@@ -160,17 +163,21 @@ def mixing_plan(documents: DataFrame, **how) -> DataFrame:
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The documents as the mix takes them, all columns, one row per pass, in order of position.
 
-    The last pass over a document may take only its first words; its text and ``n_chars`` are cut then.
+    The last pass over a document may take only its first words; its text and ``n_chars`` are cut then. A
+    null or empty text is never taken. Repeated rows are taken each by itself. Columns may have any names.
     """
     rows = mix(documents, carry=True, **how).where("__mix.taken > 0")
     number = F.posexplode("__mix.positions").alias("__pass", "__position")
     rows = rows.select("*", number)
     words = F.least(F.col("__mix.size"), F.col("__mix.taken") - F.col("__pass") * F.col("__mix.size"))
+    text = F.col("__doc")["text"]
     # Pieces are a word with the blanks before it; only the few documents cut are split.
-    pieces = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int"))
+    pieces = F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int"))
     cut = words < F.col("__mix.size")
-    rows = rows.withColumn("text", F.when(cut, F.array_join(pieces, "")).otherwise(F.col("text")))
+    text = F.when(cut, F.array_join(pieces, "")).otherwise(text)
+    new = {"text": text}
     if "n_chars" in documents.columns:
-        length = F.length("text").cast(documents.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
-    return rows.orderBy("__position", "doc_id").select(*documents.columns)
+        length = F.length(text).cast(documents.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(cut, length).otherwise(F.col("__doc")["n_chars"])
+    rows = rows.orderBy("__position", "doc_id")
+    return rows.select(*(new.get(c, F.col("__doc")[c]).alias(c) for c in documents.columns))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import runs, shuffle_partitions, utf8
+from palaver.llm.common import runs, shuffle_partitions, unused, utf8
 from palaver.llm.components import connected_components
 from palaver.session import written
 
@@ -270,18 +270,25 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """The documents, all columns, with one row of each component: that of the smallest id.
 
-    Rows are decided on by id and text. Of those kept under one id (or, without ids, of one text) the
-    smallest text stays; ``near_texts.drop_near_texts`` keeps different texts under one id.
+    Rows are decided on by id and text, so different texts under one id are different documents; of a
+    component that has several of its smallest id the one of the smallest text hash stays. Of rows equal in
+    both one stays, the first by its columns. Rows without an id come last. Null and empty texts are one
+    component. An empty table stays empty. Columns may have any names.
     """
-    kept = near_duplicates(documents, budget, mark=text_mark()).where("kept").select("doc_id", "alone").distinct()
-    mark = "__alone"
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("alone").alias("__mark"))
-    marked = documents.withColumn(mark, text_mark())
-    rows = marked.join(
-        kept, marked.doc_id.eqNullSafe(kept["__id"]) & (marked[mark] == kept["__mark"]), "left_semi"
+    kept = near_duplicates(documents, budget, shingle, mark=text_mark()).where("kept")
+    keys = [F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull()]
+    names = unused(documents, "id", "no", "mark")
+    kept = kept.select(*(c.alias(n) for c, n in zip((*keys, F.col("alone")), names, strict=True))).distinct()
+    whole = unused(documents, "row")[0]
+    keys[0] = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    rows = documents.select(
+        F.struct(*documents.columns).alias(whole), *(c.alias(n) for c, n in zip((*keys, text_mark()), names, strict=True))
     )
-    one = F.row_number().over(Window.partitionBy("doc_id", row_mark()).orderBy("text"))
-    return rows.withColumn("__row", one).where("__row = 1").drop("__row", mark)
+    # The join and the window share one shuffle by these keys.
+    rows = rows.join(kept, names, "left_semi")
+    place = unused(documents, "place")[0]
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(whole).cast("string")))
+    return rows.withColumn(place, one).where(F.col(place) == 1).select(f"{whole}.*")

@@ -2,7 +2,7 @@ import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside or return.
-CLASHING = "score double, size long, fp long, component string, pattern string, label int, part int"
+CLASHING = "score double, size long, fp long, component string, pattern string, label int, part int, words int, target int, weight int, sid int, `__mix` int, `__mark` int, id int, mark int, `no` int, row int"
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +11,7 @@ def documents(spark):
 
     def make(rows):
         full = [
-            (r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), 0.5, 1, 2, "c", "p", 1, 3)
+            (r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), 0.5, 1, 2, "c", "p", 1, 3, *range(10))
             for r in rows
         ]
         return spark.createDataFrame(full, f"{COLUMNS}, {CLASHING}").repartition(3)

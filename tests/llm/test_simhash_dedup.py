@@ -106,4 +106,28 @@ def test_one_row_of_each_group_stays(edge, nothing, documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
     assert dedup.drop_near_duplicates(nothing).count() == 0
     twice = documents([(1, "same id, another text entirely, said the one"), (1, "and nothing like it was ever written by us")])
-    assert dedup.drop_near_duplicates(twice).count() == 1
+    assert dedup.drop_near_duplicates(twice).count() == 2
+    words = " ".join(f"w{i * i % 97}" for i in range(400))
+    shared = documents([(3, words), (5, words + " w"), (5, "yet another text of its own, kept by itself"), (5, words + " w")])
+    found = {(r.doc_id, r.text[:3]) for r in dedup.drop_near_duplicates(shared).collect()}
+    assert found == {(3, words[:3]), (5, "yet")}
+
+
+def test_kept_rows_against_plain_components(documents):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.choice([5, 80, 300]))]
+        for copy in range(rng.choice([1, 1, 4])):
+            changed = [rng.choice(words) if copy and rng.random() < 0.01 else w for w in words]
+            rows.append((1000 - len(rows) if rng.random() < 0.9 else 7, " ".join(changed)))
+    prints = [dedup.simhash(t.encode()) for _, t in rows]
+    names = dict(zip(sorted(set(prints)), components(sorted(set(prints)), 4), strict=True))
+    first = {}
+    for (doc_id, text), fp in zip(rows, prints, strict=True):
+        first.setdefault(names[fp], []).append((doc_id, text))
+    found = dedup.drop_near_duplicates(documents(rows)).collect()
+    assert len(found) == len(first)
+    lowest = sorted(min(i for i, _ in group) for group in first.values())
+    assert sorted(r.doc_id for r in found) == lowest
+    assert all(any((r.doc_id, r.text) in group for group in first.values()) for r in found)
