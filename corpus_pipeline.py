@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import mixing, near_texts, packing, pii, quality
+from palaver.llm import mixing, packing, pii, quality, simhash_dedup
 from palaver.llm.common import table
 from palaver.session import written
 
@@ -19,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of texts that share four fifths of their five-word runs."""
-    return near_texts.drop_near_texts(docs)
+    """Keep the document of the smallest id of each group linked by SimHash, with that operator's own settings."""
+    return simhash_dedup.drop_near_duplicates(docs, simhash_dedup.BUDGET, simhash_dedup.SHINGLE)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier, the signatures nor the packing.
+#: SQL can express neither the classifier, the fingerprints nor the packing.
 ORACLE_SQL = None
 
 
