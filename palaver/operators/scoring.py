@@ -72,7 +72,9 @@ def score_linear(
         )
         return F.coalesce(summed, F.lit(0.0))
 
-    return rows.select(*keys, *[logistic(total(i)).alias(f"p_{lab}") for i, lab in enumerate(labels)])
+    # Handed out by a generator, so that a condition on a score is not pushed below and the vector computed again.
+    scores = F.struct(*[logistic(total(i)).alias(f"p_{lab}") for i, lab in enumerate(labels)])
+    return rows.select(*keys, F.inline(F.array(scores)))
 
 
 def score_linear_joined(
