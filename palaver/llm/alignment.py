@@ -114,6 +114,13 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def joined(table: pa.Array, at: np.ndarray) -> bytes:
+    """Entries of a table of bytes, one after the other: just what Arrow lays out when it takes them."""
+    taken = table.take(pa.array(at))
+    _, ends, data = taken.buffers()
+    return data.to_pybytes()[: np.frombuffer(ends, np.int32)[len(at)]]
+
+
 class Aligner:
     """Texts to the rows of ``LAYOUT`` without the first column."""
 
@@ -123,7 +130,8 @@ class Aligner:
             raise ValueError("ids of more than 16 bits")
         self.sizes = [np.array(list(map(len, v.bytes))) for v in (self.a, self.b)]
         # What follows an id: another of its side and group, the other side, the next group.
-        self.shown = [f"{i}{after}".encode() for after in ",|;" for i in range(1 << 16)]
+        self.shown = pa.array([f"{i}{after}".encode() for after in ",|;" for i in range(1 << 16)], pa.binary())
+        self.spelled = pa.array(self.b.bytes, pa.binary())
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides; none for a text without or one that a side does not spell."""
@@ -131,7 +139,7 @@ class Aligner:
             return None
         a, b, whole = self.a.encode(" " + text), self.b.encode(text), (" " + text).encode()
         # Tokens of bytes always spell their text, so their length will do.
-        same = self.sizes[0][a].sum() == len(whole) and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == whole
+        same = self.sizes[0][a].sum() == len(whole) and joined(self.spelled, b) == whole
         return (a, b) if same else None
 
     def digest(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> str:
@@ -143,7 +151,7 @@ class Aligner:
         laid[np.arange(len(b)) + np.repeat(cuts[:, 0], sizes[:, 1])] = b
         laid[cuts[:, 0] + before[:, 1] - 1] += 1 << 16
         laid[cuts.sum(1) - 1] += 2 << 16
-        return sha256(b"".join(map(self.shown.__getitem__, laid.tolist()))[:-1]).hexdigest()
+        return sha256(joined(self.shown, laid)[:-1]).hexdigest()
 
     def rows(self, texts: list[str]) -> list[tuple]:
         found = [self.ids(text) for text in texts]
