@@ -306,7 +306,7 @@ def cross_validation(spark, sf_dir):
 
 
 @query("class_sizes", f"""WITH {CODED_SQL}
-SELECT label, count_if(y = 1) AS positives, count_if(y = 0) AS negatives, true AS optimal FROM coded GROUP BY label""")
+SELECT label, count_if(y = 1)::BIGINT AS positives, count_if(y = 0)::BIGINT AS negatives, true AS optimal FROM coded GROUP BY label""")
 def class_sizes(spark, sf_dir):
     """What SQL can say of cross-validation: every coded row is measured once, by models at their optimum."""
     found = cross_validation(spark, sf_dir)
