@@ -61,12 +61,12 @@ def depths_of(intervals: DataFrame) -> list[int]:
     return sorted(r.depth for r in intervals.select(depth.alias("depth")).where("depth > 0").distinct().collect())
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, segments: int | None = SEGMENTS) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, segments: int | None = ALL_DEPTHS) -> DataFrame:
     """Rows ``(page_id, url, fetched_at, n_active, lists, blocked)``, one per row of ``captures``.
 
     ``n_active`` counts active entries that match, ``lists`` names theirs, sorted and comma-joined. A
-    null or hostless URL, or a null time, matches nothing. Entries of more than ``segments`` path
-    segments are not asked for; with ``ALL_DEPTHS`` those of any depth are. Equal captures are evaluated once and
+    null or hostless URL, or a null time, matches nothing. Entries of any depth are met, unless
+    ``segments`` asks for path prefixes of at most so many segments. Equal captures are evaluated once and
     counted; on the side of the entries a pattern has as many rows as intervals, so a host with a
     third of all captures can be split between tasks.
     """

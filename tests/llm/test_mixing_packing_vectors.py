@@ -242,7 +242,7 @@ def test_url_lists_against_brute_force(spark):
         path = rest[cut:].split("?")[0].split("#")[0]
         labels, segments = host.split("."), [s for s in path.split("/") if s]
         ups = {".".join(labels[i:]) for i in range(len(labels) - 1)}
-        return ups | {host + "/" + "/".join(segments[:i]) for i in range(1, min(2, len(segments)) + 1)}
+        return ups | {host + "/" + "/".join(segments[:i]) for i in range(1, len(segments) + 1)}
 
     want = []
     for page, url, at in captures:
