@@ -46,7 +46,7 @@ def csv_roundtrip(spark, sf_dir):
     delimited.write_delimited(
         texts(spark, sf_dir).select("doc_id", "text", "lang"), comma, header=False
     )
-    delimited.transcode(spark, comma, tab, ",", "\t")
+    delimited.transcode(spark, comma, tab, ",", "\t", header=False)
     rows = delimited.read_delimited(spark, tab, "\t", schema=CODED)
     return rows.select(
         *[delimited.nth(rows, i).alias(c) for i, c in enumerate(rows.columns, 1)]
@@ -73,6 +73,20 @@ def csv_ragged(spark, sf_dir):
     return spark.read.text(tab).withColumnRenamed("value", "line")
 
 
+@query("csv_line_breaks", """
+SELECT doc_id::VARCHAR AS doc_id, replace(text, ' ', chr(10)) || chr(10) || '"' || lang || '",' AS text,
+    CASE WHEN doc_id % 3 <> 0 THEN chr(13) || chr(10) || source END AS note FROM documents""")
+def csv_line_breaks(spark, sf_dir):
+    """Every word on a line of its own, quotes and delimiters at the ends of lines."""
+    path = scratch_path(spark, "breaks")
+    text = F.concat(F.replace("text", F.lit(" "), F.lit("\n")), F.lit('\n"'), "lang", F.lit('",'))
+    note = F.when(F.pmod("doc_id", F.lit(3)) != 0, F.concat(F.lit("\r\n"), "source"))
+    rows = texts(spark, sf_dir).select("doc_id", text.alias("text"), note.alias("note"))
+    delimited.write_delimited(rows, path)
+    return delimited.read_delimited(spark, path, header=True, schema="doc_id string, text string, note string",
+                                    split_above=0)
+
+
 @query("csv_one_column", """
 SELECT CASE WHEN doc_id % 3 = 2 THEN lang END AS cell FROM documents""")
 def csv_one_column(spark, sf_dir):
