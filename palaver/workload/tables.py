@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from palaver.functions.text import ADDED_CELL, REMOVED_CELL
 from palaver.operators import filters, joins, labels, metrics
 from palaver.operators.entries import label_map, shape_entries
-from palaver.plans.ingest import coded_entries, store, with_revisions
+from palaver.plans import ingest
+from palaver.plans.ingest import coded_entries, with_revisions
 from palaver.functions.keys import label_bool
 from palaver.session import scratch_path, written
-from palaver.sources import delimited, documents, revisions
+from palaver.sources import delimited, documents, revisions, store
 from palaver.workload.inputs import table, texts
 from palaver.workload.registry import query
 
@@ -167,6 +168,53 @@ def set_field(spark, sf_dir):
     )
 
 
+STORE_BUCKETS = 256
+
+STORED_SQL = f"""
+WITH d AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {STORE_BUCKETS} AS b FROM documents),
+t AS (SELECT DISTINCT b FROM d WHERE {{touched}})
+SELECT doc_id, {{value}}, b IN (SELECT b FROM t) AS rewritten FROM d"""
+
+
+def _stored(spark, sf_dir):
+    path = scratch_path(spark, "collection")
+    docs = texts(spark, sf_dir).select("doc_id", "lang", F.struct("source", "n_chars").alias("entry"))
+    return path, store.create(docs, path, ["doc_id"], STORE_BUCKETS)
+
+
+def _with_rewritten(spark, first, last, *columns):
+    """The documents of ``last``, each with whether its file is another one than in ``first``."""
+    file = F.col("_metadata.file_path").alias("_file")
+    old = first.read(spark).select(file).distinct().withColumn("_old", F.lit(True))
+    now = last.read(spark).select("doc_id", *columns, file)
+    return now.join(old, "_file", "left").select("doc_id", *columns, F.col("_old").isNull().alias("rewritten"))
+
+
+@query("stored_upsert", STORED_SQL.format(
+    touched="doc_id % 100 = 7", value="CASE WHEN doc_id % 100 = 7 THEN upper(lang) ELSE lang END AS lang"))
+def stored_upsert(spark, sf_dir):
+    """One document in a hundred comes anew, some twice; the files of untouched buckets stay."""
+    path, first = _stored(spark, sf_dir)
+    new = first.read(spark).where("doc_id % 100 = 7")
+    stale = new.where("doc_id % 200 = 7").withColumn("lang", F.lit("stale")).withColumn("_at", F.lit(1))
+    fresh = new.withColumn("lang", F.upper("lang")).withColumn("_at", F.lit(2))
+    last = store.upsert_stored(spark, path, fresh.unionByName(stale), [F.col("_at")])
+    return _with_rewritten(spark, first, last, "lang")
+
+
+@query("stored_set_field", STORED_SQL.format(
+    touched="doc_id % 100 = 11",
+    value="CASE WHEN doc_id % 100 = 11 THEN -n_chars ELSE n_chars END::BIGINT AS size"))
+def stored_set_field(spark, sf_dir):
+    """A nested field of one document in a hundred is set where it lies."""
+    path, first = _stored(spark, sf_dir)
+    values = table(spark, sf_dir, "documents").where("doc_id % 100 = 11").select(
+        "doc_id", (-F.col("n_chars")).alias("value"))
+    last = store.set_stored_field(spark, path, values, "entry.n_chars")
+    found = _with_rewritten(spark, first, last, "entry")
+    return found.select("doc_id", F.col("entry.n_chars").cast("long").alias("size"), "rewritten")
+
+
 def _responses(spark, sf_dir):
     """One API response per document: a revision with a diff and one not cached yet."""
     text = F.col("text")
@@ -424,7 +472,7 @@ def ingest_entries(spark, sf_dir):
     fresh = coded_entries(
         _coded_rows(spark, sf_dir), "rev", LABELS, stored=already, skip=True
     )
-    return _flat(store(already, with_revisions(fresh, _responses(spark, sf_dir))))
+    return _flat(ingest.store(already, with_revisions(fresh, _responses(spark, sf_dir))))
 
 
 @query("ingest_pending", """
@@ -437,8 +485,8 @@ def ingest_pending(spark, sf_dir):
     rows, responses = _coded_rows(spark, sf_dir), _responses(spark, sf_dir)
     early = responses.where("xml not like '%user=\"fr\"%'")
     first = coded_entries(rows, "rev", LABELS)
-    stored = written(store(first.limit(0), with_revisions(first, early)), "entries")
+    stored = written(ingest.store(first.limit(0), with_revisions(first, early)), "entries")
     second = written(coded_entries(rows, "rev", LABELS, stored=stored, skip=True), "asked")
     asked = second.select(F.col("entry.id.rev_id").alias("rev_id"), F.lit(True).alias("again"))
-    whole = _flat(store(stored, with_revisions(second, responses))).join(asked, "rev_id", "left")
+    whole = _flat(ingest.store(stored, with_revisions(second, responses))).join(asked, "rev_id", "left")
     return whole.withColumn("asked_again", F.coalesce("again", F.lit(False))).drop("again")
