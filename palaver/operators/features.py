@@ -22,6 +22,7 @@ from palaver.functions.features import (
     pattern_presence,
 )
 from palaver.functions.text import deshout, lexicon_tokens, text_channels, tokenize
+from palaver.operators.lemmas import Lemmatizer
 
 CHANNELS = "_channels"
 KNOWN = "_known"
@@ -103,8 +104,8 @@ class LexiconExtractor:
     """Polarity of the lexicon words in the text, if above ``threshold`` in size.
 
     ``scores`` is ``(word, score)`` with unique words. ``lemmas`` is ``(form, lemma)`` with
-    unique forms and replaces a token before it is looked up. Spark picks the join; what it may
-    shuffle is one row per entry, channel and word.
+    unique forms and replaces a token before it is looked up; a ``Lemmatizer`` finds the lemmas of
+    the tokens itself. Spark picks the join; what it may shuffle is one row per entry, channel and word.
     """
 
     fields = ("calm",)
@@ -113,7 +114,7 @@ class LexiconExtractor:
         self,
         scores: DataFrame,
         threshold: float = 0.1,
-        lemmas: DataFrame | None = None,
+        lemmas: DataFrame | Lemmatizer | None = None,
     ):
         self.scores = scores.where(F.abs("score") > threshold).select("word", "score")
         self.lemmas = lemmas
@@ -126,7 +127,9 @@ class LexiconExtractor:
             key, "channel", F.explode(F.array_distinct(lexicon_tokens(F.col("calm")))).alias("word")
         )
         if self.lemmas is not None:
-            words = substitute_lemmas(words, self.lemmas, "word").distinct()
+            derived = isinstance(self.lemmas, Lemmatizer)
+            lemmas = self.lemmas.lemmas(words, "word") if derived else self.lemmas
+            words = substitute_lemmas(words, lemmas, "word").distinct()
         return words.join(self.scores, "word").select(
             key,
             F.concat_ws("_", "channel", "word").alias("feature"),

@@ -9,6 +9,7 @@ from palaver.functions.keys import (
     format_wikidate, int_if, int_if_order, parse_wikidate, shift_seconds,
 )
 from palaver.operators.features import substitute_lemmas
+from palaver.operators.lemmas import NOUN_SUFFIXES, Lemmatizer
 from palaver.workload.inputs import CHANNELS_SQL, SPLIT, calm_sql, table, texts
 from palaver.workload.registry import query
 
@@ -92,6 +93,32 @@ def lemma_lookup(spark, sf_dir):
     return substitute_lemmas(lexicon_tokens(spark, sf_dir), lemmas, "token")
 
 
+@query("lemmatize", f"""
+WITH RECURSIVE {TOKENS_SQL},
+lexicon AS (SELECT DISTINCT token AS word FROM toks WHERE token NOT LIKE '%s'),
+exceptions AS (SELECT DISTINCT word AS form, left(word, 3) AS given FROM (
+    SELECT unnest(string_split_regex(text, '[^a-zA-Z]+')) AS word FROM benchmark) WHERE word LIKE '%ts'),
+rules AS (FROM (VALUES {", ".join(str((i, old, new)) for i, (old, new) in enumerate(NOUN_SUFFIXES))}) r(r, old, new)),
+cands AS (SELECT DISTINCT token AS form, token AS cand, []::INT[] AS path FROM toks
+    WHERE token NOT IN (SELECT form FROM exceptions)
+    UNION ALL SELECT form, left(cand, length(cand) - length(old)) || new, path || [r]
+    FROM cands JOIN rules ON ends_with(cand, old)),
+every AS (FROM cands UNION ALL SELECT form, form, []::INT[] FROM exceptions
+    UNION ALL SELECT form, given, [0] FROM exceptions),
+lemmas AS (SELECT form, cand FROM every WHERE cand IN (SELECT word FROM lexicon)
+    QUALIFY row_number() OVER (PARTITION BY form ORDER BY len(path), path) = 1)
+SELECT id, coalesce(cand, token) AS token FROM toks LEFT JOIN lemmas ON form = token""")
+def lemmatize(spark, sf_dir):
+    """The documents' tokens by their lemmas; the lexicon is their words that do not end in s, and some
+    words of the benchmark are taken as irregular."""
+    tokens = lexicon_tokens(spark, sf_dir)
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("form"))
+    irregular = words.where("form like '%ts'").distinct().withColumn("lemma", F.substring("form", 1, 3))
+    lexicon = tokens.where("token not like '%s'").select(F.col("token").alias("word")).distinct()
+    lemmas = Lemmatizer(lexicon, irregular).lemmas(tokens, "token")
+    return substitute_lemmas(tokens, lemmas, "token")
+
+
 @query("wikidate", """
 SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS text, date_trunc('second', ts) AS parsed,
     strftime(date_trunc('second', ts) - INTERVAL 10 SECOND, '%Y%m%d%H%M%S') AS earliest,
