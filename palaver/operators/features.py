@@ -21,6 +21,7 @@ from palaver.functions.features import (
     pattern_matches,
     pattern_presence,
 )
+from palaver.functions.many_patterns import many_pattern_features
 from palaver.functions.text import deshout, lexicon_tokens, text_channels, tokenize
 from palaver.operators.lemmas import Lemmatizer
 
@@ -82,8 +83,11 @@ class NgramExtractor:
 
 
 class PatternExtractor:
+    """Features of a pattern dictionary. More than ``MANY`` patterns are found by their literals."""
+
     binary = True
     fields = ()
+    MANY = 32
 
     def __init__(self, patterns: list[Pattern]):
         self.patterns = patterns
@@ -93,10 +97,13 @@ class PatternExtractor:
 
     def in_row(self, channel: Column, prefix: str, wrap: Wrap) -> Column:
         where, text = channel["channel"], channel["text"]
-        found = F.concat(
-            pattern_presence(where, text, self.patterns, prefix),
-            pattern_matches(where, text, self.patterns, prefix),
-        )
+        if len(self.patterns) > self.MANY:
+            found = many_pattern_features(where, text, self.patterns, prefix)
+        else:
+            found = F.concat(
+                pattern_presence(where, text, self.patterns, prefix),
+                pattern_matches(where, text, self.patterns, prefix),
+            )
         return present(F.array_distinct(found), wrap)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.features import Pattern, bucket
 from palaver.operators import features as fx
-from palaver.sources.dictionaries import lexicon_scores, lexicon_senses, pattern_dictionary
+from palaver.sources.dictionaries import lexicon_scores, lexicon_senses, pattern_dictionary, plan_patterns
 from palaver.workload import inputs as inp
 from palaver.workload.registry import query
 
@@ -53,6 +53,24 @@ def pattern_expand(spark, sf_dir):
     return found.select("id", "feature")
 
 
+@query("pattern_many", rf"""WITH {inp.CHANNELS_SQL},
+w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS w FROM benchmark),
+words AS (SELECT w FROM w GROUP BY w ORDER BY count(*) DESC, w LIMIT 500),
+hits AS (SELECT id, channel, w, regexp_extract_all(text, w || '([a-z]*)[.,]', 1) AS tails FROM ch, words
+    WHERE contains(text, w))
+SELECT id, w || '_' || channel AS feature FROM hits WHERE len(tails) > 0
+UNION SELECT id, w || '_' || channel || '_' || unnest(tails) FROM hits""")
+def pattern_many(spark, sf_dir):
+    """A dictionary of 500 patterns, of the words the benchmark uses most."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("w")
+    counts = inp.table(spark, sf_dir, "benchmark").select(word).groupBy("w").count()
+    line = F.concat("w", F.lit("\t"), "w", F.lit("([a-z]*)[.,]\texpand,binary")).alias("value")
+    lines = counts.orderBy(F.desc("count"), "w").limit(500).select(line)
+    patterns = plan_patterns(pattern_dictionary(lines))
+    found = fx.feature_table(inp.entries(spark, sf_dir), [fx.PatternExtractor(patterns)])
+    return found.select("id", "feature")
+
+
 # Dictionary lines from the documents' own lines: commas become tabs, full stops comment signs.
 
 
