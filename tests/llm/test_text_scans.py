@@ -1,5 +1,6 @@
 """Personal data, licenses, quality, language model and fingerprints."""
 
+import collections
 import hashlib
 import re
 
@@ -204,18 +205,86 @@ def test_language_model_prefers_what_it_has_seen(documents):
     assert found[100].n_tokens == 39 and found[100].log_prob == pytest.approx(39 * found[100].mean_log_prob)
 
 
-def test_language_model_probabilities_sum_to_one():
-    counts = np.random.default_rng(0).integers(0, 50, language_model.BUCKETS)
-    classes, within = language_model.classes_of(counts)
-    assert np.bincount(classes, np.exp(within.astype(float)), language_model.CLASSES) == pytest.approx(1.0, abs=1e-3)
-    weights = language_model.initial()
-    total = 0.0  # over all classes of a middle word: differences to one text cancel its other words
-    for kind in range(language_model.CLASSES):
-        embed, enter, bias, out, out_bias = weights
-        line = np.array([language_model.EDGE, 3, kind, 5, language_model.EDGE])
-        h = np.tanh(sum(embed[line[k]] @ w for k, w in zip(language_model.OFFSETS, enter, strict=True)) + bias)
-        total += np.exp(language_model.log_softmax((h @ out + out_bias)[None])[0, kind])
-    assert total == pytest.approx(1.0, abs=1e-4)
+def plain_shares(texts, head):
+    """Per word its class and its share among the words of that class, counted anew."""
+    counts = collections.Counter(language_model.hashes(" ".join(texts).encode()).tolist())
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    kinds, _ = language_model.classes_of(np.array([counts[w] for w in ranked[:head]]))
+    kind = dict(zip(ranked[:head], map(int, kinds), strict=False))
+    for word in ranked[head:]:
+        kind[word] = language_model.HEAD_CLASSES + word % language_model.TAIL_CLASSES
+    sizes = collections.Counter()
+    for word, n in counts.items():
+        sizes[kind[word]] += n
+    return kind, {w: counts[w] / sizes[kind[w]] for w in counts}
+
+
+def plain_score(weights, kinds):
+    """Log-probability of a text's classes, one position after the other."""
+    embed, enter, bias, out, out_bias = (w.astype(np.float64) for w in weights)
+    edge = [language_model.EDGE] * language_model.SIDE
+    line, total = edge + kinds + edge, 0.0
+    for at in range(len(kinds)):
+        seen = [line[at + k] for k in language_model.OFFSETS]
+        h = np.tanh(sum(embed[c] @ w for c, w in zip(seen, enter, strict=True)) + bias)
+        z = np.exp(h @ out + out_bias)
+        total += np.log(z[line[at + language_model.SIDE]] / z.sum())
+    return total
+
+
+@pytest.mark.parametrize("head", [1, 70, 150, 1 << 18])
+def test_language_scores_against_brute_force(documents, monkeypatch, head):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(words, int(n), p=np.arange(200, 0, -1) / 20100)) for n in rng.integers(1, 120, 30)]
+    weights = language_model.initial(9)
+    monkeypatch.setattr(language_model, "train", lambda rows, rounds: weights)
+    kind, share = plain_shares(texts, head)
+    for own in set(kind.values()):
+        assert sum(share[w] for w in share if kind[w] == own) == pytest.approx(1.0)
+    # One id for all: scores are kept apart by row.
+    found = language_model.language_scores(documents([(7, t) for t in texts]), head=head).collect()
+    expected = []
+    for text in texts:
+        own = language_model.hashes(text.encode()).tolist()
+        expected.append(plain_score(weights, [kind[w] for w in own]) + sum(np.log(share[w]) for w in own))
+    assert sorted(r.log_prob for r in found) == pytest.approx(sorted(expected), rel=1e-4)
+
+
+def test_language_model_slopes_against_differences():
+    rng = np.random.default_rng(2)
+    line = rng.integers(0, language_model.CLASSES, 60).astype(np.uint8)
+    at, weights = np.arange(2, 58), language_model.initial()
+
+    def loss(own):
+        embed, enter, bias, out, out_bias = (w.astype(np.float64) for w in own)
+        seen = [line[at + k - language_model.SIDE] for k in language_model.OFFSETS]
+        h = np.tanh(sum(embed[c] @ w for c, w in zip(seen, enter, strict=True)) + bias)
+        return -language_model.log_softmax(h @ out + out_bias)[np.arange(len(at)), line[at]].mean()
+
+    trainer = language_model.Trainer(weights)
+    trainer.step(line, at, 0.0)
+    for k, first in enumerate(trainer.first):
+        for flat in rng.integers(0, first.size, 5):
+            moved = []
+            for way in (1e-4, -1e-4):
+                own = [w.astype(np.float64) for w in weights]
+                own[k].flat[flat] += way
+                moved.append(loss(own))
+            assert 10 * first.flat[flat] == pytest.approx((moved[0] - moved[1]) / 2e-4, abs=1e-4)
+
+
+def test_training_on_all_tokens_lowers_the_loss(documents):
+    rng = np.random.default_rng(1)
+    pairs = [("red", "apple"), ("blue", "whale"), ("old", "house"), ("tall", "tree")]
+    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 4, 60)) for _ in range(60)]
+    head, _ = language_model.split_vocabulary(language_model.vocabulary(documents(list(enumerate(texts)))))
+    rows = language_model.encoded(documents(list(enumerate(texts))), head)
+    kinds = [bytes(r.classes) for r in rows.collect()]
+    plain, fitted = language_model.initial(), language_model.train(rows)
+    before, after = (language_model.scores(w, kinds).sum() / 7200 for w in (plain, fitted))
+    # A word's partner is sure; which pair comes is one of four, half the tokens being seconds.
+    assert before < -4 and after > -0.6
 
 
 def test_language_model_edge_rows(edge, nothing):
