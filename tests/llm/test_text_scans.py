@@ -264,7 +264,7 @@ def test_language_model_slopes_against_differences():
 
     trainer = language_model.Trainer(weights)
     trainer.step(line, at, 0.0)
-    for k, first in enumerate(trainer.first):
+    for k, first in enumerate(language_model.views(trainer.first)):
         for flat in rng.integers(0, first.size, 5):
             moved = []
             for way in (1e-4, -1e-4):
