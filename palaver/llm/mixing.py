@@ -90,19 +90,18 @@ def mix(
     An empty table gives none.
     """
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    sizes = written(documents.select(doc_id, "source", word_count().alias("size")), "sizes")
+    # Rows without an id are told apart by their text.
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.concat_ws(":", F.lit(str(seed)), name)
+    order = F.conv(F.substring(F.md5(key), 1, ORDER_BITS // 4), 16, 10).cast("long").alias("__order")
+    sizes = written(documents.select(doc_id, "source", word_count().alias("size"), order), "sizes")
     sources = written(source_targets(sizes, weights, most), "sources").withColumnRenamed("source", "__source")
     bits = max(2, min(40, math.ceil(math.log2(max(1, sizes.count()) / BUCKET_ROWS))))
 
     def placed(rows: DataFrame) -> DataFrame:
-        key = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))
-        order = F.conv(F.substring(F.md5(key), 1, ORDER_BITS // 4), 16, 10).cast("long")
         rows = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        return (
-            rows.withColumn("__order", order)
-            .withColumn("__bucket", F.shiftright("__order", ORDER_BITS - bits))
-            .withColumn("__top", F.shiftright("__order", ORDER_BITS - bits // 2))
-        )
+        rows = rows.withColumn("__bucket", F.shiftright("__order", ORDER_BITS - bits))
+        return rows.withColumn("__top", F.shiftright("__order", ORDER_BITS - bits // 2))
 
     def running(*keys: str) -> Window:
         return Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +118,7 @@ def mix(
     starts = written(starts.select("sid", "__bucket", (F.col("__low") + F.col("__high")).alias("__start")), "starts")
 
     # The documents travel in one struct, so that none of their names can meet one of these.
-    whole = documents.select(F.struct(*documents.columns).alias("__doc"), doc_id, "source", word_count().alias("__size"))
+    whole = documents.select(F.struct(*documents.columns).alias("__doc"), doc_id, "source", word_count().alias("__size"), order)
     rows = placed(whole if carry else sizes.withColumnRenamed("size", "__size"))
     rows = rows.join(starts, ["sid", "__bucket"])
     order = running("sid", "__bucket").orderBy("__order", "doc_id", "__size")

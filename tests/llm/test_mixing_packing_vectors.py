@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palaver.llm import embedding_dedup, hnsw, mixing, packing, url_lists
@@ -144,6 +145,37 @@ def test_packing_covers_every_word_once(documents, edge, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(documents):
+    found = packing.pack(documents([(1, "the same words")] * 900), shard_rows=100).collect()
+    assert len(found) == 900 and len({r.bin_id for r in found}) == 900  # copies never share a bin
+    shards = Counter(r.bin_id >> packing.BIN_BITS for r in found)
+    assert len(shards) >= 7 and max(shards.values()) < 200
+
+
+def test_packing_follows_the_order_of_files(spark, documents, edge, nothing, tmp_path):
+    rng = random.Random(8)
+    order = list(range(400))
+    rng.shuffle(order)
+    rows = documents([(k, " ".join(["w"] * (1 + k % 30)) + f" {k}") for k in order]).orderBy("doc_id")
+    rows.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/ordered")
+    found = packing.pack(spark.read.parquet(f"{tmp_path}/ordered"), shard_rows=50, in_order=True).collect()
+    assert Counter(r.doc_id for r in found) == Counter(range(400))
+    assert all(r.bin_id >> packing.BIN_BITS == r.doc_id // 50 for r in found)
+    # No files, and a column of that name: dealt by hash.
+    for other in (edge, nothing, rows.withColumn("_metadata", F.lit(1))):
+        assert packing.pack(other, in_order=True).count() >= other.count()
+
+
+def test_mix_spreads_rows_without_id(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 32)
+    texts = [f"text number {k} of many" for k in range(300)]
+    found = mixing.mix(documents([(None, t) for t in texts] + [(None, None)] * 5)).collect()
+    # One source: all its words are due, each at a time of its own.
+    assert len(found) == 305 and sum(r.taken for r in found) == 300 * 5
+    starts = sorted(r.positions[0] for r in found if r.taken)
+    assert len(set(starts)) == 300 and starts[0] == 0
+
+
 def clustered(rng, groups, per, dims=16, noise=0.04):
     centres = rng.normal(size=(groups, dims))
     return np.repeat(centres, per, 0) + noise * rng.normal(size=(groups * per, dims))
