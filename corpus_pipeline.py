@@ -34,8 +34,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lay the documents out in sequences; copies, repeats of the mix too, never share one."""
-    return packing.pack(docs)
+    """Lay the documents out in sequences; copies, repeats of the mix too, never share one.
+
+    The mix was written in the order of the curriculum; sequences are numbered along it.
+    """
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [
