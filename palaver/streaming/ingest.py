@@ -22,7 +22,7 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         ready, pending = split_pending(revision_rows(batch, column))
-        ready = ready.dropDuplicates(["rev_id"])
+        ready = last_per_key(ready, ["rev_id"], [F.col(c) for c in ("timestamp", "size", "diff")])
         wanted = entries.join(
             ready.select("rev_id"),
             F.col("entry.id.rev_id") == F.col("rev_id"),

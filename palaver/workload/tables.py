@@ -12,6 +12,7 @@ from palaver.plans.ingest import coded_entries, with_revisions
 from palaver.functions.keys import label_bool
 from palaver.session import scratch_path, written
 from palaver.sources import delimited, documents, revisions, store
+from palaver.streaming.retries import ASK, keyed_state, retry_events
 from palaver.workload.inputs import table, texts
 from palaver.workload.registry import query
 
@@ -490,3 +491,20 @@ def ingest_pending(spark, sf_dir):
     asked = second.select(F.col("entry.id.rev_id").alias("rev_id"), F.lit(True).alias("again"))
     whole = _flat(ingest.store(stored, with_revisions(second, responses))).join(asked, "rev_id", "left")
     return whole.withColumn("asked_again", F.coalesce("again", F.lit(False))).drop("again")
+
+
+@query("pending_events", """
+SELECT doc_id AS rev_id, CASE WHEN doc_id % 3 <> 0 THEN 'stored' ELSE 'given up' END AS event,
+    CASE WHEN doc_id % 3 <> 0 THEN 0 ELSE 3 END::INTEGER AS tries,
+    CASE WHEN doc_id % 3 <> 0 THEN source END AS title,
+    CASE WHEN doc_id % 3 <> 0 THEN n_chars::INTEGER END AS size
+FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 3""")
+def pending_events(spark, sf_dir):
+    """Up to three pending answers to a document, for two in three the revision too; more than two are too many."""
+    ready, _ = revisions.split_pending(revisions.revision_rows(_responses(spark, sf_dir)))
+    again = F.sequence(F.lit(0).cast("bigint"), F.pmod("rev_id", F.lit(4)))
+    late = ready.select("*", F.explode(again).alias("n")).where("n > 0").drop("n")
+    answers = ready.where("rev_id % 3 <> 0").unionByName(late.withColumn("pending", F.lit(True)))
+    with keyed_state(spark):
+        found = written(retry_events(answers, most=2), "events")
+    return found.where(F.col("event") != ASK).select("rev_id", "event", "tries", "title", "size")
