@@ -277,14 +277,14 @@ def test_language_model_slopes_against_differences():
 def test_training_on_all_tokens_lowers_the_loss(documents):
     rng = np.random.default_rng(1)
     pairs = [("red", "apple"), ("blue", "whale"), ("old", "house"), ("tall", "tree")]
-    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 4, 60)) for _ in range(60)]
+    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 4, 60)) for _ in range(2000)]
     head, _ = language_model.split_vocabulary(language_model.vocabulary(documents(list(enumerate(texts)))))
     rows = language_model.encoded(documents(list(enumerate(texts))), head)
     kinds = [bytes(r.classes) for r in rows.collect()]
     plain, fitted = language_model.initial(), language_model.train(rows)
-    before, after = (language_model.scores(w, kinds).sum() / 7200 for w in (plain, fitted))
-    # A word's partner is sure; which pair comes is one of four, half the tokens being seconds.
-    assert before < -4 and after > -0.6
+    before, after = (language_model.scores(w, kinds).sum() / 240_000 for w in (plain, fitted))
+    # Counts alone give log(1/8); a word's partner, on one side or the other, tells it for sure.
+    assert before < -4 and after > np.log(1 / 8) / 2
 
 
 def test_language_model_edge_rows(edge, nothing):
