@@ -52,6 +52,31 @@ def test_all_models_at_once_agree_with_one_by_one(vectors):
                 assert mine.get((label, s, i + 1), 0.0) == pytest.approx(w, abs=0.05)
 
 
+def test_second_derivatives_stay_off_the_driver(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(400):
+        good = rnd.random() < 0.5
+        cells = set(rnd.sample(range(1, 1024), 60)) | {1, 2, 3 if good and i % 9 else 4}
+        # Every bucket from 500 on goes with another one, as unigrams do with their lower case.
+        cells |= {b - 400 for b in cells if b > 500}
+        rows.append((i, [(b, 1.0) for b in sorted(cells)], {"good": good}))
+    coded = spark.createDataFrame(rows, VECTORS).repartition(4).cache()
+    received, whole = [], type(coded).toArrow
+
+    def counted(df):
+        found = whole(df)
+        received.append(found.nbytes)
+        return found
+
+    monkeypatch.setattr(type(coded), "toArrow", counted)
+    weights = train_models(coded, ["good"], 10)
+    monkeypatch.undo()
+    assert max(received) < 4 * 8 * 1025  # a few numbers per bucket
+    assert len(received) < 60
+    assert all(g.gap < 0.01 for g in optimality(coded, weights, ["good"], 10).collect())
+
+
 def test_scores_are_computed_once_under_a_condition(vectors):
     weights = vectors.sparkSession.createDataFrame([("a", 1, 1.0)], "label string, idx int, weight double")
     found = score_linear(vectors, weights, ["a"], bits=BITS).where("p_a > 0.6 and p_a < 0.9")
