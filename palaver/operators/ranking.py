@@ -56,13 +56,13 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column | str]) ->
 
     Groups may be few and huge, so none is given to one task: rows are range-partitioned by
     group and order, numbered inside each partition, and moved up by the rows their group has
-    in earlier partitions. The placement is written out first, for it rests on a sample and
-    must not differ between counting and numbering.
+    in earlier partitions. Rows are written out first, as the sample that placing rests on would
+    compute them once more; so is the placement, which must not differ between counting and numbering.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(
-        df.repartitionByRange(parts, *groups, *order).withColumn(
+        materialize(df).repartitionByRange(parts, *groups, *order).withColumn(
             "_part", F.spark_partition_id()
         )
     )

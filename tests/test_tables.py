@@ -128,6 +128,21 @@ def test_margin_ranks_with_many_ties(spark):
     assert ranking.uncertain(scored, ["a", "b"], 0.5).count() == len(loose)
 
 
+def test_ranked_rows_are_computed_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        met.add(1)
+        return (i * 37 % 101) / 101
+
+    scored = spark.range(500).select("id", score("id").alias("p_a"), F.lit(0.0).alias("p_b"))
+    found = ranking.rank_within(scored, ["p_b"], ["p_a", "id"]).collect()
+    order = sorted(range(500), key=lambda i: ((i * 37 % 101) / 101, i))
+    assert [r["id"] for r in sorted(found, key=lambda r: r["rank"])] == order
+    assert met.value == 500
+
+
 def test_one_label_is_ranked_by_score(spark):
     scored = spark.createDataFrame([(1, 0.6), (2, 0.9), (3, 0.1)], "id int, p_a double")
     found = ranking.label_lists(scored, ["a"], 0.5, "id")
