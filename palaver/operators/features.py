@@ -329,3 +329,27 @@ def feature_map(features: DataFrame, key: str = "id") -> DataFrame:
     return inner.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("fset", "values"))).alias("features")
     )
+
+
+def with_feature_map(entries: DataFrame, extractors: list, key: str) -> DataFrame:
+    """``entries`` with ``features``, the nested view of their feature table; NULL where there are none.
+
+    Features found inside the row stay there; only those of a table are grouped and joined by ``key``.
+    """
+    in_row, joined = _split(extractors)
+    if joined or len({x.name() for x in in_row}) < len(in_row):
+        texts = entries.select(key, "added", "removed", "comment")
+        return entries.join(feature_map(feature_table(texts, extractors, key), key), key, "left")
+    names = [f"_features{i}" for i in range(len(in_row))]
+    pairs = [_in_row(x, "", lambda f, v: F.struct(f.alias("feature"), v.alias("value"))) for x in in_row]
+    found = with_channels(entries, in_row).withColumns(dict(zip(names, pairs, strict=True)))
+    sets = F.array(*[
+        F.struct(F.lit(x.name()).alias("fset"), F.map_from_entries(n).alias("values")) for x, n in zip(in_row, names)
+    ])
+    some = F.filter(sets, lambda s: F.size(s["values"]) > 0)
+    known, anything = F.lit(True), F.lit(False)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+        anything = anything | (F.size(n) > 0)
+    features = F.when(known & anything & F.col(key).isNotNull(), F.map_from_entries(some))
+    return found.withColumn("features", features).drop(CHANNELS, *names)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.entries import entry_key
-from palaver.operators.features import add_vectors, feature_map, feature_table
+from palaver.operators.features import add_vectors, with_feature_map
 from palaver.operators.filters import filter_paths
 from palaver.operators.scoring import score_linear
 from palaver.sources.registry import load_models
@@ -17,10 +17,8 @@ def with_features(docs: DataFrame, extractors: list, bits: int = 15) -> DataFram
     rows = docs.drop("features", "vector").select(
         entry_key().alias("_key"), "*", "entry.content.added", "entry.content.removed", "entry.comment"
     )
-    texts = rows.select("_key", "added", "removed", "comment")
-    features = feature_map(feature_table(texts, extractors, "_key"), "_key")
     vectors = add_vectors(rows, extractors, "_key", bits)
-    return vectors.join(features, "_key", "left").drop("_key", "added", "removed", "comment")
+    return with_feature_map(vectors, extractors, "_key").drop("_key", "added", "removed", "comment")
 
 
 def stored_scores(

@@ -148,3 +148,21 @@ def test_groups_are_counted_as_java_does(spark, regex, groups):
 def test_other_dialects_are_refused():
     with pytest.raises(ValueError, match="named group"):
         Pattern("p", "(?P<w>a)").groups
+
+
+def test_features_of_a_row_are_stored_without_a_shuffle(spark):
+    from palaver.plans.stored import with_features
+
+    rows = [(1, ["a b a"], ["c"], "d"), (1, ["a b a"], ["c"], "d"), (None, ["e f"], [], "g"), (3, [], [], "")]
+    texts = spark.createDataFrame(rows, "rev_id long, added array<string>, removed array<string>, comment string")
+    docs = texts.select(F.struct(
+        F.struct("rev_id").alias("id"), "comment", F.struct("added", "removed").alias("content")).alias("entry"))
+    extractors = [fx.NgramExtractor(2), fx.NgramExtractor(1)]
+    found = with_features(docs, extractors)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    single = texts.where("rev_id = 3").select(F.lit("x").alias("id"), "added", "removed", "comment")
+    plain = fx.feature_map(fx.feature_table(single, extractors)).collect()[0]["features"]
+    mine = {r["entry"]["id"]["rev_id"]: r["features"] for r in found.collect()}
+    assert mine[3] == plain
+    assert set(mine[1]["ngram1"]) == {"added_a", "added_b", "removed_c", "comment_d"}
+    assert set(mine[None]["ngram1"]) >= {"added_e", "added_f", "comment_g"}
