@@ -112,3 +112,11 @@ def test_one_shuffle_of_the_lines(spark, tmp_path):
     text = plan.executedPlan().toString()
     # Ranges (lines' flags and files), lines, and crossing records: no exchange by record of all lines.
     assert text.count("hashpartitioning(key") == 1 and "SinglePartition" not in text
+
+
+def test_only_records_that_cross_ranges_are_shuffled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"1\n2",y\nz,w\n')
+    found = read_records(spark, str(tmp_path / "a.csv"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    assert {(r.record, r.is_first) for r in found.collect()} == {('x,"1\n2",y', True), ("z,w", False)}
