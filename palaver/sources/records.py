@@ -30,7 +30,8 @@ def read_records(spark: SparkSession, paths: str | list[str], delimiter: str = "
     never closed goes on to the end of its file. No file or an empty one gives no records. A file
     whose line ends are all CR, or that is compressed as a whole, is one task.
 
-    The files are read twice. A task holds a batch of lines and one record; the states of all ranges, a few
+    The files are read three times: for the states, for the records of one range, and for those that
+    cross ranges. A task holds a batch of lines and one record; the states of all ranges, a few
     numbers each, go to every task. Only records that cross from one range to the next are shuffled.
     """
     lines = _lines(spark, paths, delimiter)
