@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -274,6 +275,26 @@ def test_language_model_slopes_against_differences():
             assert 10 * first.flat[flat] == pytest.approx((moved[0] - moved[1]) / 2e-4, abs=1e-4)
 
 
+def test_a_training_step_makes_no_new_table_of_class_scores():
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, language_model.CLASSES, language_model.BATCH + 4).astype(np.uint8)
+    at, trainer = np.arange(2, language_model.BATCH + 2), language_model.Trainer(language_model.initial())
+    trainer.step(line, at, 0.01)
+    tracemalloc.start()
+    trainer.step(line, at, 0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * language_model.CLASSES * language_model.BATCH
+
+
+def test_large_class_scores_are_shifted_before_their_exponentials():
+    weights = language_model.initial()
+    weights[3] = weights[3] * 200
+    kinds = list(np.random.default_rng(6).integers(0, language_model.CLASSES, 50).tolist())
+    found = language_model.scores(weights, [bytes(kinds)])
+    assert found == pytest.approx([plain_score(weights, kinds)], rel=1e-4)
+
+
 def test_training_on_all_tokens_lowers_the_loss(documents):
     rng = np.random.default_rng(1)
     pairs = [("red", "apple"), ("blue", "whale"), ("old", "house"), ("tall", "tree")]
