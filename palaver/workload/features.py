@@ -138,11 +138,11 @@ SELECT id, fset, count(*) AS features, round(sum(value), 6) AS total,
     sum({inp.bucket_sql("feature", 30)})::BIGINT AS checksum
 FROM feats GROUP BY id, fset""")
 def feature_union(spark, sf_dir):
-    found = fx.feature_table(inp.entries(spark, sf_dir), inp.extractors(spark))
+    found = fx.feature_table(inp.entries(spark, sf_dir), inp.extractors(spark), bits=30)
     return found.groupBy("id", "fset").agg(
         F.count("*").alias("features"),
         F.round(F.sum("value"), 6).alias("total"),
-        F.sum(bucket(F.col("feature"), 30).cast("bigint")).alias("checksum"),
+        F.sum(F.col("bucket").cast("bigint")).alias("checksum"),
     )
 
 

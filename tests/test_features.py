@@ -95,6 +95,26 @@ def test_vectors_agree_with_the_feature_table(spark, entries):
     assert found == {k: v for k, (_, v) in expected.items()}
 
 
+def test_sets_share_the_names_of_texts_that_do_not_shout(spark, entries):
+    extractors = [fx.NgramExtractor(n, calm) for n in (2, 1) for calm in (False, True)]
+    extractors.append(fx.PatternExtractor([Pattern("open", "[{]"), Pattern("tail", "(w.)come", True, True)]))
+    found = fx.feature_table(entries, extractors, bits=7)
+    assert found.where(F.col("bucket") != fx.bucket(F.col("feature"), 7)).count() == 0
+    rows = sorted(tuple(r)[:4] for r in found.collect())
+    apart = [r for x in extractors for r in fx.feature_table(entries, [x]).collect()]
+    assert rows == sorted(map(tuple, apart)) and len(rows) > 100
+
+
+def test_a_pattern_is_tried_only_where_its_literal_stands(spark):
+    texts = spark.createDataFrame([("a@b x@y",), ("ab",), ("",), (None,)], "t string")
+    mail = Pattern("mail", "([a-z]+)@([a-z]+)", True, True)
+    columns = [f(F.lit("c"), F.col("t"), [mail]) for f in (fx.pattern_presence, fx.pattern_matches)]
+    found = texts.select(*columns)
+    assert [tuple(r) for r in found.collect()] == [
+        (["mail_c"], ["mail_c_a_b", "mail_c_x_y"]), ([], []), ([], []), ([], None)]
+    assert plan_of(found).count("Contains(") + plan_of(found).count("contains(") >= 2
+
+
 def test_nested_views(spark, entries):
     maps = fx.feature_map(fx.feature_table(entries, [fx.NgramExtractor(1)])).where("id = 3")
     assert maps.first()["features"] == {"ngram1": {"added_": 1.0, "removed_": 1.0}}
