@@ -111,10 +111,11 @@ def bucket(key: Column, bits: int = 15, method: str = "md5") -> Column:
     ``md5`` can be recomputed by any SQL engine; ``xxhash64`` is Spark's own and faster.
     """
     mask = (1 << bits) - 1
+    digits = min(8, -(-bits // 4))  # only these hold a bit of the mask
     if method == "xxhash64":
         code = F.xxhash64(key)
     elif method == "md5":
-        code = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+        code = F.conv(F.substring(F.md5(key), 9 - digits, digits), 16, 10).cast("bigint")
     else:
         raise ValueError(f"unknown hash method: {method}")
     return (code.bitwiseAND(F.lit(mask).cast("bigint")) + 1).cast("int")

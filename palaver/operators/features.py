@@ -305,12 +305,10 @@ def one_per_bucket(present_in: Column, valued: Column | None) -> Column:
     """
 
     def ones(buckets: Column) -> Column:
-        return F.transform(
-            buckets, lambda i: F.struct(i.alias("idx"), F.lit(1.0).alias("value"))
-        ).cast(VALUED)
+        return F.transform(buckets, lambda i: F.struct(i.alias("idx"), F.lit(1.0).alias("value")))
 
     if valued is None:
-        return ones(F.array_distinct(present_in))
+        return ones(F.array_distinct(present_in)).cast(VALUED)
 
     def greatest(items: Column) -> Column:
         return F.filter(items, lambda x, i: ~F.get(items, i + 1)["idx"].eqNullSafe(x["idx"]))
