@@ -346,3 +346,81 @@ def test_block_tables_find_all_within_the_radius(spark, block_rows):
     got = {r.fingerprint: r.n_near for r in found.collect()}
     want = {f"{v:032x}": sum(0 < (v ^ w).bit_count() <= 3 for w in values) for v in values}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_names_tell_words_apart_and_keep_their_endings():
+    text = " Éa THE the  ab b x1-x1 é ".encode() + bytes(range(256)) + b" the"
+    words, names = licenses.words_of(text), language_model.hashes(text).tolist()
+    assert len(words) == len(names)
+    assert len(set(words)) == len(set(zip(words, names, strict=True))) == len(set(names))
+    for word, name in zip(words, names, strict=True):
+        ending = [b & 31 for b in reversed(word[-3:])] + [0, 0]
+        assert name >> language_model.HASHED == ending[0] << 10 | ending[1] << 5 | ending[2]
+
+
+@pytest.fixture(scope="module")
+def leaves():
+    rng = np.random.default_rng(2)
+    sizes = [1] * language_model.OWN_CLASSES + [37, 1, 0, 64] + [3] * (language_model.CLASSES - language_model.OWN_CLASSES - 4)
+    starts = np.cumsum([0, *sizes])
+    return language_model.Leaves(starts, rng.integers(0, 5, starts[-1]))
+
+
+def test_leaves_of_a_class_share_it_as_the_hidden_layer_says(leaves):
+    rng = np.random.default_rng(3)
+    h = np.vstack([np.tanh(rng.normal(size=(language_model.HIDDEN, 1))), [[1.0]]]).astype(np.float32)
+    for spread in (0.0, 2.0):
+        within = rng.normal(size=language_model.WITHIN).astype(np.float32) * np.float32(spread)
+        for kind in (64, 67, 70):
+            own = np.arange(leaves.starts[kind], leaves.starts[kind + 1])
+            own, n = own[leaves.counts[own] > 0], leaves.counts[own][leaves.counts[own] > 0]
+            turns = language_model.Turns(within, leaves, np.full(len(own), kind), own, np.repeat(h, len(own), axis=1))
+            assert np.sort(turns.at).tolist() == list(range(len(own)))
+            share = np.exp(turns.log_probabilities())[np.argsort(turns.at)]
+            assert share.sum() == pytest.approx(1.0, rel=1e-5)
+            assert (share == pytest.approx(n / n.sum(), rel=1e-4)) == (spread == 0 or len(own) < 2)
+
+
+def test_slopes_of_turns_against_differences(leaves):
+    rng = np.random.default_rng(4)
+    own = rng.choice(np.flatnonzero(leaves.counts), 300)
+    kinds = np.searchsorted(leaves.starts, own, "right") - 1
+    line = np.concatenate([[language_model.EDGE] * 2, kinds, [language_model.EDGE] * 2]).astype(np.uint8)
+    at, whole = np.arange(2, 302), [*language_model.initial(), rng.normal(size=language_model.WITHIN).astype(np.float32)]
+
+    def loss(weights):
+        return -language_model.scores(weights, [line[2:-2].tobytes()], own, leaves)[0] / 300
+
+    trainer = language_model.Trainer(whole)
+    trainer.step(line, at, 0.0, own, leaves)
+    for k, first in enumerate(language_model.views(trainer.first)):
+        for flat in np.argsort(-np.abs(first).ravel())[:5]:
+            moved = []
+            for way in (1e-2, -1e-2):
+                weights = [w.copy() for w in whole]
+                weights[k].flat[flat] += np.float32(way)
+                moved.append(loss(weights))
+            assert 10 * first.flat[flat] == pytest.approx((moved[0] - moved[1]) / 2e-2, rel=0.05, abs=1e-4)
+
+
+def test_words_of_one_class_are_told_apart_by_what_stands_around(documents):
+    rng = np.random.default_rng(8)
+    often = [f"w{k}x" for k in range(62)]
+    pairs = [(f"a{k}ung", f"b{k}tion") for k in range(60)]
+    odds = np.arange(100, 40, -1) / np.arange(100, 40, -1).sum()
+
+    def piece():
+        k, side = rng.choice(60, p=odds), int(rng.random() < 0.49)
+        return [often[rng.integers(62)], ("der", "the")[side], pairs[k][side]]
+
+    texts = [" ".join(sum((piece() for _ in range(100)), [])) for _ in range(1000)]
+    (names, classes, *_), _ = language_model.split_vocabulary(language_model.vocabulary(documents(list(enumerate(texts)))))
+    kind = dict(zip(names.tolist(), classes.tolist(), strict=True))
+    own = [[kind[language_model.hashes(w.encode())[0]] for w in pair] for pair in pairs]
+    same = [pair for pair, (a, b) in zip(pairs, own, strict=True) if a == b >= language_model.OWN_CLASSES]
+    assert len(same) > 10
+    right = " ".join(f"der {a} the {b}" for a, b in same)
+    wrong = " ".join(f"der {b} the {a}" for a, b in same)
+    rows = [*enumerate(texts), (-1, right), (-2, wrong)]
+    found = {r.doc_id: r for r in language_model.language_scores(documents(rows)).collect()}
+    assert found[-1].log_prob > found[-2].log_prob + len(same)
