@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -77,6 +78,28 @@ def test_second_derivatives_stay_off_the_driver(spark, monkeypatch):
     assert all(g.gap < 0.01 for g in optimality(coded, weights, ["good"], 10).collect())
 
 
+def test_optimality_sums_slopes_before_it_shuffles_them(spark, vectors):
+    coded = vectors.withColumn("slice", F.pmod("id", F.lit(3)))
+    coded = coded.union(coded.limit(7)).unionByName(spark.createDataFrame(
+        [(901, [], {"good": True}, 1), (902, None, {"good": True}, 1), (903, [(3, 2.0)], {"good": None}, 2)], coded.schema))
+    weights = [("good", k, i, (i - 8) / 10) for k in range(3) for i in range(1, 17) if i % 3]
+    table = spark.createDataFrame(weights, "label string, slice int, idx int, weight double")
+    own = {(k, i): w for _, k, i, w in weights}
+    found = optimality(coded, table, ["good"], BITS, 0.8, ("slice", [0, 1, 2]))
+    rows = [r for r in coded.collect() if r.vector is not None and r.labels and r.labels["good"] is not None]
+    got = {r.slice: (r.n, r.gap) for r in found.collect()}
+    for k in range(3):
+        used, slopes = [r for r in rows if r.slice != k], {}
+        for r in used:
+            off = 1 / (1 + math.exp(-sum(c.value * own.get((k, c.idx), 0.0) for c in r.vector))) - r.labels["good"]
+            for c in r.vector:
+                slopes[c.idx] = slopes.get(c.idx, 0.0) + off * c.value
+        gaps = [abs(0.8 * s + math.copysign(1, own[k, i])) if own.get((k, i)) else abs(0.8 * s) - 1 for i, s in slopes.items()]
+        assert got[k] == (len(used), pytest.approx(max(gaps)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(vector" not in plan  # no row per cell
+
+
 def test_scores_are_computed_once_under_a_condition(vectors):
     weights = vectors.sparkSession.createDataFrame([("a", 1, 1.0)], "label string, idx int, weight double")
     found = score_linear(vectors, weights, ["a"], bits=BITS).where("p_a > 0.6 and p_a < 0.9")
